@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, toxicity
+from . import packing, pii, simhash, toxicity
 from .common import table
 
 
+def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -23,6 +27,7 @@ def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_boosting": op1_pii_boosting,
     "op3_weak_toxicity": op3_weak_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_simhash_gray": op10_simhash_gray,
