@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, simhash, toxicity
+from . import decontaminate, packing, pii, simhash, toxicity
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii_boosting": op1_pii_boosting,
     "op3_weak_toxicity": op3_weak_toxicity,
+    "op4_spaced_seeds": op4_spaced_seeds,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_simhash_gray": op10_simhash_gray,
 }
