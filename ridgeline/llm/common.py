@@ -57,8 +57,3 @@ def _fs(spark: SparkSession, path: str):
 def text_or_empty(column: str = "text") -> Column:
     """Null texts count as empty everywhere."""
     return F.coalesce(F.col(column), F.lit(""))
-
-
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and leave every other character alone, whatever the locale."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

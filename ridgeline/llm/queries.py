@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, simhash, toxicity
+from . import decontaminate, licenses, packing, pii, simhash, toxicity
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fp_hex().alias("fingerprint"), "component_id")
@@ -35,6 +39,7 @@ QUERIES = {
     "op3_weak_toxicity": op3_weak_toxicity,
     "op4_spaced_seeds": op4_spaced_seeds,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_license_rules": op7_license_rules,
     "op10_simhash_gray": op10_simhash_gray,
 }
 
