@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, packing, pii, simhash, toxicity
+from . import decontaminate, licenses, multiindex, packing, pii, simhash, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op7_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fp_hex().alias("fingerprint"), "component_id")
@@ -40,6 +44,7 @@ QUERIES = {
     "op4_spaced_seeds": op4_spaced_seeds,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_license_rules": op7_license_rules,
+    "op8_multi_index": op8_multi_index,
     "op10_simhash_gray": op10_simhash_gray,
 }
 
