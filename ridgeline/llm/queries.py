@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, multiindex, packing, pii, simhash, toxicity
+from . import decontaminate, licenses, multiindex, packing, pii, quotes, sharding, simhash, toxicity, wordpiece
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -21,6 +25,10 @@ def op4_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -33,19 +41,31 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fp_hex().alias("fingerprint"), "component_id")
 
 
 QUERIES = {
-    "op1_pii_boosting": op1_pii_boosting,
-    "op3_weak_toxicity": op3_weak_toxicity,
-    "op4_spaced_seeds": op4_spaced_seeds,
-    "op6_best_fit_packing": op6_best_fit_packing,
-    "op7_license_rules": op7_license_rules,
-    "op8_multi_index": op8_multi_index,
-    "op10_simhash_gray": op10_simhash_gray,
+    f.__name__: f
+    for f in (
+        op1_pii_boosting,
+        op2_quotation_links,
+        op3_weak_toxicity,
+        op4_spaced_seeds,
+        op5_extendible_shards,
+        op6_best_fit_packing,
+        op7_license_rules,
+        op8_multi_index,
+        op9_longest_match_counts,
+        op10_simhash_gray,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_extendible_shards": sharding.oracle(),
+}
