@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
-from .tokenize import ChunkEncoder
+from .tokenize import encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, salt long"
 END = (0).to_bytes(4, "little")
@@ -38,11 +38,11 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49
     """documents -> one row per piece. Null texts count as empty: one piece, the end id alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, salt = ChunkEncoder(vocabulary), 0
+        encode, salt = encoder(vocabulary).encode, 0
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                for part in cut(encoder.encode(text) + END, capacity):
+            for doc_id, ids in zip(batch["doc_id"].astype("Int64"), encode(batch["text"].tolist())):
+                for part in cut(ids + END, capacity):
                     rows.append((doc_id, *part, salt))
                     salt += 1
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])

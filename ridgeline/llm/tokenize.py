@@ -2,42 +2,70 @@
 
 White space separates tokens in the lower-casing word vocabularies, so a text's ids are the ids of its
 white-space chunks put together. Chunks recur, so their ids are kept (as packed little-endian 32-bit
-values) in a cache of bounded size.
+values) in a cache of bounded size, one for each Python worker, which serves all its tasks. Chunks not
+seen before are encoded many at a time.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 #: str.split() also splits at these, which are no white space to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+BATCH_CHARS = 4_000_000
 
 
-class ChunkEncoder:
-    """encode(text) -> bytes of little-endian unsigned 32-bit ids, without special tokens added."""
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
 
-    def __init__(self, vocabulary: str = "word_bpe_49k.json", cache_entries: int = 400_000):
+
+class WordEncoder:
+    """encode(texts) -> for each, the bytes of its little-endian unsigned 32-bit ids, none added."""
+
+    def __init__(self, vocabulary: str = "word_bpe_49k.json", cache_entries: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.cache_entries = cache_entries
         self.cache: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        if SEPARATORS.search(text):
-            return self._direct([text])[0]
-        chunks = text.split()
-        cache = self.cache
-        if missing := [c for c in dict.fromkeys(chunks) if c not in cache]:
-            if len(cache) + len(missing) > self.cache_entries:
-                cache.clear()
-                missing = list(dict.fromkeys(chunks))
-            cache.update(zip(missing, self._direct(missing)))
-        return b"".join(map(cache.__getitem__, chunks))
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= BATCH_CHARS:
+                out += self._some(held)
+                held, size = [], 0
+        return out + self._some(held)
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        chunks = [[] if SEPARATORS.search(t) else t.split() for t in texts]
+        self._learn(set().union(*chunks))
+        take = self.cache.__getitem__
+        return [b"".join(map(take, c)) if c or not t else self._direct(t) for c, t in zip(chunks, texts)]
+
+    def _direct(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn(self, chunks: set[str]) -> None:
+        missing = list(chunks.difference(self.cache))
+        if len(self.cache) + len(missing) > self.cache_entries:
+            self.cache = {c: self.cache[c] for c in chunks.intersection(self.cache)}
+        # one call for all; where each id began in the joined text tells whose it is
+        found = self.tokenizer.encode(" ".join(missing), add_special_tokens=False)
+        begins = np.fromiter((b for b, _ in found.offsets), dtype=np.int64, count=len(found.ids))
+        lengths = np.fromiter(map(len, missing), dtype=np.int64, count=len(missing))
+        firsts = np.cumsum(lengths + 1) - lengths - 1
+        cuts = (np.searchsorted(begins, np.append(firsts, firsts[-1:] + lengths[-1:])) * 4).tolist()
+        raw = packed(found.ids)
+        self.cache.update((c, raw[b:e]) for c, b, e in zip(missing, cuts, cuts[1:]))
+
+
+@functools.cache
+def encoder(vocabulary: str) -> WordEncoder:
+    """The worker's encoder: loaded once, its cache kept from task to task."""
+    return WordEncoder(vocabulary)
