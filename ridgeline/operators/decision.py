@@ -34,7 +34,7 @@ def service_area(longitude: Column, latitude: Column, t: Thresholds = DEFAULTS)
 
 
 #: The outputs that every request has to ask for.
-OUTPUTS = ("roofArea", "averagePitch", "maximumPitch", "facets", "rakes", "eaves", "valleys", "ridges", "hips", "confidence")
+OUTPUTS = ("roofAreaSqFt", "averagePitchDegrees", "maximumPitchDegrees", "facets", "rakesFeet", "eavesFeet", "valleysFeet", "ridgesFeet", "hipsFeet", "flatRoofAreaSqFt")
 
 
 def request_problems(rows: DataFrame) -> DataFrame:

@@ -53,8 +53,8 @@ def density(points: DataFrame, key: str, area: str, minimum: Column, cls: str =
 def only_date(days: DataFrame, key: str, day: str, low: str, high: str) -> DataFrame:
     """(key, day): the one distinct date inside the registered window, null if there are none or several."""
     inside = F.when(F.col(day).between(F.col(low), F.col(high)), F.col(day))
-    span = days.groupBy(key).agg(F.min(inside).alias("a"), F.max(inside).alias("b"))  # equal ends: one date
-    return span.select(key, F.when(F.col("a") == F.col("b"), F.col("a")).alias(day))
+    span = days.groupBy(key).agg(F.min(inside).alias("first_day"), F.max(inside).alias("last_day"))  # equal ends: one date
+    return span.select(key, F.when(F.col("first_day") == F.col("last_day"), F.col("first_day")).alias(day))
 
 
 def gps_date(stats: DataFrame, key: str, candidates: Column, low: str, high: str) -> DataFrame:
