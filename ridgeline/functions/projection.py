@@ -16,8 +16,8 @@ SCALE = 0.9996
 EASTING = 500_000.0
 
 
-def _series(n: float) -> tuple[float, list[float], list[float]]:
-    """Rectifying radius, forward and inverse coefficients of the Krueger series to sixth order (published)."""
+def _series(n: float) -> tuple[float, list[float], list[float], list[float]]:
+    """Rectifying radius, forward, inverse and latitude coefficients of the Krueger series to sixth order (published)."""
     radius = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
     alpha = [
         n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180 - 127 * n**5 / 288 + 7891 * n**6 / 37800,
@@ -35,11 +35,19 @@ def _series(n: float) -> tuple[float, list[float], list[float]]:
         4583 * n**5 / 161280 - 108847 * n**6 / 3991680,
         20648693 * n**6 / 638668800,
     ]
-    return radius, alpha, beta
+    delta = [
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45 + 26 * n**5 / 45 - 2854 * n**6 / 675,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45 + 2704 * n**5 / 315 + 2323 * n**6 / 945,
+        56 * n**3 / 15 - 136 * n**4 / 35 - 1262 * n**5 / 105 + 73814 * n**6 / 2835,
+        4279 * n**4 / 630 - 332 * n**5 / 35 - 399572 * n**6 / 14175,
+        4174 * n**5 / 315 - 144838 * n**6 / 6237,
+        601676 * n**6 / 22275,
+    ]
+    return radius, alpha, beta, delta
 
 
 N = FLATTENING / (2 - FLATTENING)
-RADIUS, ALPHA, BETA = _series(N)
+RADIUS, ALPHA, BETA, DELTA = _series(N)
 ECCENTRICITY = math.sqrt(FLATTENING * (2 - FLATTENING))
 
 
@@ -78,11 +86,10 @@ def from_utm(x: Column, y: Column, zone: Column, south: Column) -> Column:
     for k, b in enumerate(BETA, 1):
         xi = xi - F.lit(b) * F.sin(xi0 * (2 * k)) * F.cosh(eta0 * (2 * k))
         eta = eta - F.lit(b) * F.cos(xi0 * (2 * k)) * F.sinh(eta0 * (2 * k))
-    tau0 = F.sin(xi) / F.sqrt(F.sinh(eta) * F.sinh(eta) + F.cos(xi) * F.cos(xi))
-    psi = F.asinh(tau0)
-    phi = F.atan(F.sinh(psi))
-    for _ in range(6):  # fixed point of the isometric latitude
-        phi = F.asin(F.tanh(psi + F.lit(ECCENTRICITY) * F.atanh(F.lit(ECCENTRICITY) * F.sin(phi))))
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    phi = chi
+    for k, d in enumerate(DELTA, 1):
+        phi = phi + F.lit(d) * F.sin(chi * (2 * k))
     lam = F.atan2(F.sinh(eta), F.cos(xi))
     return named(longitude=central_meridian(zone) + F.degrees(lam), latitude=F.degrees(phi))
 

@@ -49,7 +49,7 @@ def report_from_json(rows: DataFrame, text: str = "value") -> DataFrame:
 
 
 def mesh_triangles(lines: DataFrame, key: str) -> DataFrame:
-    """lines(key, line_no, value) of a mesh -> triangles (key, object, line_no, k, area, plan_area, pitch, error).
+    """lines(key, line_no, value) of a mesh -> triangles (key, object, line_no, fan, area, plan_area, pitch, error).
 
     The current object is the last one named above; faces of more corners are fans. Flat triangles drop.
     """
@@ -63,13 +63,13 @@ def mesh_triangles(lines: DataFrame, key: str) -> DataFrame:
     points = rows.where((F.col("v")[0] == "v") & (F.size("v") >= 4)).select(key, F.col("n").alias("id"), *[F.col("v")[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")])
     faces = rows.where((F.col("v")[0] == "f") & (F.size("v") >= 4) & F.col("object").startswith("Roof.") & ~F.col("object").endswith(".Label"))
     corner = F.transform(F.slice("v", 2, 100_000), lambda p: F.split(p, "/")[0].cast("int"))
-    fans = faces.select(key, "object", "line_no", corner.alias("c")).select(key, "object", "line_no", "c", F.explode(F.sequence(F.lit(1), F.size("c") - 2)).alias("k"))
-    ids = fans.select(key, "object", "line_no", "k", F.col("c")[0].alias("i0"), F.get("c", F.col("k")).alias("i1"), F.get("c", F.col("k") + 1).alias("i2"))
+    fans = faces.select(key, "object", "line_no", corner.alias("c")).select(key, "object", "line_no", "c", F.explode(F.sequence(F.lit(1), F.size("c") - 2)).alias("fan"))
+    ids = fans.select(key, "object", "line_no", "fan", F.col("c")[0].alias("i0"), F.get("c", F.col("fan")).alias("i1"), F.get("c", F.col("fan") + 1).alias("i2"))
     for i in range(3):
         ids = ids.join(points.select(key, F.col("id").alias(f"i{i}"), *[F.col(c).alias(f"{c}{i}") for c in "xyz"]), [key, f"i{i}"])
     a, b = [F.col(f"{c}1") - F.col(f"{c}0") for c in "xyz"], [F.col(f"{c}2") - F.col(f"{c}0") for c in "xyz"]
     cx, cy, cz = a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
-    tri = ids.select(key, "object", "line_no", "k", cx.alias("cx"), cy.alias("cy"), cz.alias("cz"))
+    tri = ids.select(key, "object", "line_no", "fan", cx.alias("cx"), cy.alias("cy"), cz.alias("cz"))
     return measured(tri.withColumn("twice", F.sqrt(F.col("cx") ** 2 + F.col("cy") ** 2 + F.col("cz") ** 2)).where("twice > 1e-9"))
 
 

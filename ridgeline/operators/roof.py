@@ -122,15 +122,13 @@ def quality(buildings: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 USES = "building_id string, seq int, lo int, hi int, pos int, a struct<x:double,y:double,z:double>, b struct<x:double,y:double,z:double>"
 
 
-def node_edges(frame: pd.DataFrame, tolerance: float) -> pd.DataFrame:
-    """Edge uses of one building: sides of its facets, cut at the nodes that lie on them.
+def node_edges(facets: list[tuple[int, np.ndarray]], tolerance: float) -> list[tuple]:
+    """Edge uses (seq, lo, hi, pos, start, end) of one building: sides of its facets, cut at nodes on them.
 
-    Vertices in facet order join the first node within tolerance, else found a new one. seq is the order in
-    which uses are met; a facet uses a pair of nodes once.
+    facets holds (pos, ring of xyz rows) in order. Vertices in that order join the first node within
+    tolerance, else found a new one. seq is the order in which uses are met; a facet uses a pair of nodes once.
     """
-    frame = frame.sort_values("pos")
-    rings = [np.array([[p["x"], p["y"], p["z"]] for p in ring], dtype=float) for ring in frame["ring"]]
-    points = np.array(list(dict.fromkeys(tuple(p) for ring in rings for p in ring)))
+    points = np.array(list(dict.fromkeys(tuple(p) for _, ring in facets for p in ring.tolist())))
     nodes: list[np.ndarray] = []
     keys = np.empty(len(points), dtype=int)
     for i, p in enumerate(points):
@@ -139,7 +137,7 @@ def node_edges(frame: pd.DataFrame, tolerance: float) -> pd.DataFrame:
         if not len(near):
             nodes.append(p)
     out, met = [], set()
-    for pos, ring in zip(frame["pos"], rings):
+    for pos, ring in facets:
         for start, end in zip(ring, np.roll(ring, -1, axis=0)):
             side = end - start
             length = np.linalg.norm(side)
@@ -158,13 +156,25 @@ def node_edges(frame: pd.DataFrame, tolerance: float) -> pd.DataFrame:
                 lo, hi = sorted((int(keys[i]), int(keys[j])))
                 if np.linalg.norm(b - a) > MIN_EDGE and (lo, hi, pos) not in met:
                     met.add((lo, hi, pos))
-                    out.append((frame["building_id"].iloc[0], len(out), lo, hi, pos, dict(zip("xyz", a)), dict(zip("xyz", b))))
-    return pd.DataFrame(out, columns=["building_id", "seq", "lo", "hi", "pos", "a", "b"])
+                    out.append((len(out), lo, hi, pos, a, b))
+    return out
 
 
 def edge_uses(found: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    rows = found.select(F.col("building_id").cast("string").alias("building_id"), "pos", "ring")
-    return rows.groupBy("building_id").applyInPandas(lambda frame: node_edges(frame, t.edge_node_m), USES)
+    """Rows of USES. A building's facets come as one row, so an Arrow batch holds many buildings."""
+    flat = F.transform("ring", lambda p: F.array(p["x"], p["y"], p["z"]))
+    rows = found.select(F.col("building_id").cast("string").alias("building_id"), F.struct("pos", flat.alias("ring")).alias("f"))
+    rows = rows.groupBy("building_id").agg(F.array_sort(F.collect_list("f")).alias("facets"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for building, facets in zip(batch["building_id"], batch["facets"]):
+                rings = [(f["pos"], np.array([list(p) for p in f["ring"]], dtype=float)) for f in facets]
+                out += [(building, *use[:4], *({"x": v[0], "y": v[1], "z": v[2]} for v in use[4:])) for use in node_edges(rings, t.edge_node_m)]
+            yield pd.DataFrame(out, columns=["building_id", "seq", "lo", "hi", "pos", "a", "b"])
+
+    return rows.mapInPandas(run, USES)
 
 
 def classify_pair(angle: Column, first: Column, second: Column, drop: Column, level: float = 0.15, decisive: float = 0.08, coplanar: float = 2.0) -> Column:
