@@ -91,8 +91,8 @@ def q07_regex_catalog_match(spark, sf_dir):
 SELECT id, round(inter / (aa + ab - inter), 6) AS iou, round(sqrt(pow(ax + aw / 2 - bx - bw / 2, 2) + pow(ay + ah / 2 - b_y - bh / 2, 2)), 6) AS centroid_gap, round(abs(aa - ab) / greatest(aa, ab) * 100, 6) AS area_gap FROM m""")
 def q08_iou_rectangles(spark, sf_dir):
     rows = roles.rectangles(spark, sf_dir).withColumn("inter", overlay.intersection_area("ra", "rb"))
-    rows = rows.withColumn("m", footprints.compare(F.col("ra"), F.col("rb"), F.col("inter")))
-    return rows.select("id", r("m.iou", 6).alias("iou"), r("m.centroid_gap", 6).alias("centroid_gap"), r("m.area_gap", 6).alias("area_gap"))
+    m = footprints.compare(F.col("ra"), F.col("rb"), F.col("inter"))  # fields not taken are not computed
+    return rows.select("id", *[r(m[c], 6).alias(c) for c in ("iou", "centroid_gap", "area_gap")])
 
 
 @query(with_views("rect") + "SELECT id, round(aw * ah, 6) AS area, round(2 * (aw + ah), 6) AS perimeter, round(ax + aw / 2, 6) AS cx, round(ay + ah / 2, 6) AS cy FROM rect")
@@ -315,7 +315,7 @@ SELECT m.g, m.pid, round(mean_distance, 5) AS mean_distance, coalesce(mean_dista
 def q30_knn_outlier(spark, sf_dir):
     # every 23rd return is the decimated crop that the outlier filter works on, as a point file's stride
     rows = roles.points(spark, sf_dir).where("pid % 23 = 0 AND z IS NOT NULL").withColumn("g", F.col("b") % 50)
-    out = points.outliers(rows, "g").where(~F.isnan("mean_distance"))
+    out = points.outliers(rows, "g").where("mean_distance IS NOT NULL AND NOT isnan(mean_distance)")
     return out.select("g", "pid", r("mean_distance", 5).alias("mean_distance"), "outlier")
 
 
