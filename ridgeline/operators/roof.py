@@ -106,11 +106,18 @@ def quality(buildings: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """(building_id, code, confidence) from the reconstruction's own quality attributes."""
     owner = F.filter(F.map_values("f.CityObjects"), lambda o: o["type"] == "Building")
     a = F.aggregate(owner, F.create_map().cast("map<string,string>"), lambda m, o: F.when(o["attributes"].isNull(), m).otherwise(F.map_concat(F.map_filter(m, lambda k, _: ~F.array_contains(F.map_keys(o["attributes"]), k)), o["attributes"])))
-    rows = buildings.select("building_id", a.alias("a"))
-    density, nodata, rmse = quality_number(F.col("a.rf_pt_density")), quality_number(F.col("a.rf_nodata_frac"), 1.0), quality_number(F.col("a.rf_rmse_lod22"))
+    rows = buildings.select("building_id", a.alias("a")).select(
+        "building_id",
+        quality_number(F.col("a.rf_pt_density")).alias("density"),
+        quality_number(F.col("a.rf_nodata_frac"), 1.0).alias("nodata"),
+        quality_number(F.col("a.rf_rmse_lod22")).alias("rmse"),
+        F.coalesce((F.col("a.rf_success") == "false") | (F.col("a.rf_pointcloud_unusable") == "true"), F.lit(False)).alias("unusable"),
+        F.coalesce(F.col("a.rf_extrusion_mode"), F.lit("standard")).alias("mode"),
+    )
+    density, nodata, rmse = F.col("density"), F.col("nodata"), F.col("rmse")
     code = first_code(
-        ((F.col("a.rf_success") == "false") | (F.col("a.rf_pointcloud_unusable") == "true"), "ROOFER_RECONSTRUCTION_UNUSABLE"),
-        (F.coalesce(F.col("a.rf_extrusion_mode"), F.lit("standard")) != "standard", "ROOFER_FALLBACK_MODEL"),
+        (F.col("unusable"), "ROOFER_RECONSTRUCTION_UNUSABLE"),
+        (F.col("mode") != "standard", "ROOFER_FALLBACK_MODEL"),
         (density.isNull() | nodata.isNull() | rmse.isNull(), "ROOFER_QUALITY_METADATA_INVALID"),
         (density < t.min_density, "LIDAR_DENSITY_TOO_LOW"),
         (nodata > t.max_nodata_fraction, "LIDAR_COVERAGE_INCOMPLETE"),
