@@ -8,6 +8,7 @@ not two. All of it is one expression per row: no shuffle and no join, and hot so
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -130,10 +131,10 @@ def rules() -> list[tuple[str, str, str, int, float]]:
 
 
 def rule_array(table: list[tuple]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(name).alias("label"), F.lit(p).alias("priority"), F.lit(w).alias("weight"))
-        for k, r, name, p, w in table
-    ])
+    """The rules as one constant: parsed when the plan is made, not spelled out in it."""
+    names = ("keyword", "regex", "label", "priority", "weight")
+    schema = "array<struct<keyword:string,regex:string,label:string,priority:int,weight:double>>"
+    return F.from_json(F.lit(json.dumps([dict(zip(names, rule)) for rule in table])), schema)
 
 
 def intervals(norm: Column, rule: Column) -> Column:
