@@ -55,7 +55,7 @@ def word_features(word: str) -> list[str]:
 class Matcher:
     """Counts the chosen features of a text; words seen before cost one lookup."""
 
-    def __init__(self, features: list[str], cache_entries: int = 500_000):
+    def __init__(self, features: list[str], cache_entries: int = 200_000):
         self.place = {f: i for i, f in enumerate(features)}
         self.cache_entries = cache_entries
         self.cache: dict[str, tuple[int, ...]] = {}
