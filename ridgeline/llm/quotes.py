@@ -56,8 +56,10 @@ def runs(messages: DataFrame) -> DataFrame:
 def parents(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn, linked) for each turn: linked tells a quote from the turn before."""
     said = passages(messages).unionByName(runs(messages))
+    marked = messages.where(F.contains("text", F.lit(">")))  # no mark, no quote: most texts are parsed once only
+    quoting = passages(marked).unionByName(runs(marked))
     own = said.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    quoted = said.where("level > 0").groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"), F.max("weight").alias("weight"))
+    quoted = quoting.where("level > 0").groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"), F.max("weight").alias("weight"))
     met = quoted.join(own, ["conv_id", "hash"]).where("origin < turn")
     votes = met.groupBy("conv_id", "turn", "origin").agg(F.min("level").alias("level"), F.sum("weight").alias("weight"))
     best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "weight", "origin"))["origin"].alias("quoted_turn"))
@@ -68,18 +70,27 @@ def parents(messages: DataFrame) -> DataFrame:
 
 
 def threads(replies: DataFrame) -> DataFrame:
-    """Adds root_turn and depth by pointer doubling; a parent is always an earlier turn, so there are no cycles."""
-    at = replies.select("conv_id", "turn", "parent_turn", "linked", F.coalesce("parent_turn", "turn").alias("root_turn"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    at = materialise(at, "threads")
-    while True:
-        up = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"))
-        step = at.join(up, ["conv_id", "root_turn"]).select("conv_id", "turn", "parent_turn", "linked", F.col("next").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"))
-        after = materialise(step, "threads")
-        moved = after.agg(F.sum("depth")).first()[0] != at.agg(F.sum("depth")).first()[0]
+    """Adds root_turn and depth by pointer doubling; a parent is always an earlier turn, so there are no cycles.
+
+    A row is done once its pointer is at a root; only others are joined again, so short conversations
+    cost a round or two however deep the deepest is.
+    """
+    columns = ("conv_id", "turn", "parent_turn", "linked", "root_turn", "depth", "done")
+    start = replies.select(
+        "conv_id", "turn", "parent_turn", "linked",
+        F.coalesce("parent_turn", "turn").alias("root_turn"),
+        F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+        F.col("parent_turn").isNull().alias("done"),
+    )
+    at = materialise(start, "threads")
+    while not at.where("NOT done").isEmpty():
+        up = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        step = at.where("NOT done").drop("done").join(up, ["conv_id", "root_turn"])
+        step = step.withColumns({"root_turn": F.col("next"), "depth": F.col("depth") + F.col("more"), "done": F.col("ends")})
+        after = materialise(at.where("done").unionByName(step.select(*columns)), "threads")
         drop_table(at)
         at = after
-        if not moved:
-            return at
+    return at.drop("done")
 
 
 def spoken(text: Column) -> Column:
