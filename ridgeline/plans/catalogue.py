@@ -261,17 +261,18 @@ def q24_order_packages(spark, sf_dir):
     return pricing.package_counts(rows, specs, "id").withColumn("required", r("required"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS report_id, 1000.0e0 + o_orderkey % 50 AS area, CAST(o_orderkey % 9 AS INTEGER) AS facets, CAST(o_orderkey % 12 AS DOUBLE) AS rise FROM orders WHERE o_orderkey % 3 <> 0),
-b AS (SELECT o_orderkey AS report_id, 1005.0e0 + o_orderkey % 60 AS area, CAST(o_orderkey % 8 AS INTEGER) AS facets, CAST(o_orderkey % 11 AS DOUBLE) AS rise FROM orders WHERE o_orderkey % 2 = 0),
+@query("""WITH a AS (SELECT o_orderkey AS report_id, 1000.0e0 + o_orderkey % 50 AS area, CAST(o_orderkey % 9 AS INTEGER) AS facets, CAST(o_orderkey % 12 AS DOUBLE) AS rise FROM orders WHERE o_orderstatus <> 'P'),
+b AS (SELECT o_orderkey AS report_id, 1005.0e0 + o_orderkey % 60 AS area, CAST(o_orderkey % 8 AS INTEGER) AS facets, CAST(o_orderkey % 11 AS DOUBLE) AS rise FROM orders WHERE o_orderpriority < '3'),
 r AS (SELECT coalesce(b.report_id, a.report_id) AS report_id, CASE WHEN b.report_id IS NOT NULL THEN b.area ELSE a.area END AS area, CASE WHEN b.report_id IS NOT NULL THEN b.facets ELSE a.facets END AS facets, CASE WHEN b.report_id IS NOT NULL THEN b.rise ELSE a.rise END AS rise FROM b FULL JOIN a ON a.report_id = b.report_id),
-m AS (SELECT o_orderkey AS report_id, 1002.0e0 + o_orderkey % 50 AS area, CAST(o_orderkey % 9 AS INTEGER) AS facets, CAST(o_orderkey % 12 AS BIGINT) AS rise_class FROM orders WHERE o_orderkey % 5 <> 0),
+m AS (SELECT o_orderkey AS report_id, 1002.0e0 + o_orderkey % 50 AS area, CAST(o_orderkey % 9 AS INTEGER) AS facets, CAST(o_orderkey % 12 AS BIGINT) AS rise_class FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'),
 j AS (SELECT r.report_id, m.area AS ma, abs(m.area - r.area) / r.area * 100 AS area_error, abs(degrees(atan(m.rise_class / 12.0e0)) - degrees(atan(r.rise / 12))) AS pitch_error, m.facets = r.facets AS same FROM r LEFT JOIN m ON r.report_id = m.report_id)
 SELECT report_id, round(area_error, 5) AS area_error, round(pitch_error, 5) AS pitch_error, CASE WHEN ma IS NULL THEN 'MISSING_OBJ' WHEN area_error <= 1 AND pitch_error <= 1 AND same THEN 'PASS' ELSE 'FAIL' END AS status FROM j""")
 def q25_manifest_join(spark, sf_dir):
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    # status and priority say which reports exist as text, as export and as mesh
     view = lambda keep, base, m, f, p: o.where(keep).select(k.alias("report_id"), (F.lit(base) + k % m).alias("area"), (k % f).cast("int").alias("facets"), (k % p).cast("double").alias("rise"))
-    refs = calibration.preferred_reference(view(k % 3 != 0, 1000.0, 50, 9, 12), view(k % 2 == 0, 1005.0, 60, 8, 11))
-    meshes = o.where(k % 5 != 0).select(k.alias("report_id"), (F.lit(1002.0) + k % 50).alias("area"), (k % 9).cast("int").alias("facets"), (k % 12).alias("rise_class"), F.lit(0.0).alias("max_error"))
+    refs = calibration.preferred_reference(view(F.col("o_orderstatus") != "P", 1000.0, 50, 9, 12), view(F.col("o_orderpriority") < "3", 1005.0, 60, 8, 11))
+    meshes = o.where("o_orderpriority <> '4-NOT SPECIFIED'").select(k.alias("report_id"), (F.lit(1002.0) + k % 50).alias("area"), (k % 9).cast("int").alias("facets"), (k % 12).alias("rise_class"), F.lit(0.0).alias("max_error"))
     out = calibration.compare(refs, meshes)
     return out.select("report_id", r("area_error", 5).alias("area_error"), r("pitch_error", 5).alias("pitch_error"), "status")
 
@@ -309,12 +310,11 @@ def q29_text_metric_extract(spark, sf_dir):
     return out.select("doc_id", "report_id", "area", "facets", "rise")
 
 
-@query(with_views("pts") + """, p AS (SELECT b % 50 AS g, pid, x, y, z FROM pts WHERE pid % 23 = 0 AND z IS NOT NULL), d AS (SELECT a.g, a.pid, sqrt((a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y) + (a.z - o.z) * (a.z - o.z)) AS d, o.pid AS other FROM p a JOIN p o ON a.g = o.g AND a.pid <> o.pid),
+@query(with_views("pts") + """, p AS (SELECT b AS g, pid, x, y, z FROM pts WHERE z IS NOT NULL), d AS (SELECT a.g, a.pid, sqrt((a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y) + (a.z - o.z) * (a.z - o.z)) AS d, o.pid AS other FROM p a JOIN p o ON a.g = o.g AND a.pid <> o.pid),
 w AS (SELECT *, row_number() OVER (PARTITION BY g, pid ORDER BY d, other) AS n FROM d), m AS (SELECT g, pid, avg(d) AS mean_distance FROM w WHERE n <= 12 GROUP BY g, pid), l AS (SELECT g, avg(mean_distance) + 2.2e0 * stddev_samp(mean_distance) AS lim FROM m GROUP BY g)
 SELECT m.g, m.pid, round(mean_distance, 5) AS mean_distance, coalesce(mean_distance > lim, false) AS outlier FROM m JOIN l ON m.g = l.g""")
 def q30_knn_outlier(spark, sf_dir):
-    # every 23rd return is the decimated crop that the outlier filter works on, as a point file's stride
-    rows = roles.points(spark, sf_dir).where("pid % 23 = 0 AND z IS NOT NULL").withColumn("g", F.col("b") % 50)
+    rows = roles.points(spark, sf_dir).where("z IS NOT NULL").withColumnRenamed("b", "g")
     out = points.outliers(rows, "g").where("mean_distance IS NOT NULL AND NOT isnan(mean_distance)")
     return out.select("g", "pid", r("mean_distance", 5).alias("mean_distance"), "outlier")
 
