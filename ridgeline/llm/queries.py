@@ -67,5 +67,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quotation_links": quotes.oracle(),
     "op5_extendible_shards": sharding.oracle(),
 }

@@ -114,3 +114,32 @@ def link(messages: DataFrame) -> DataFrame:
     cut = rows.select("conv_id", "turn", "role", F.greatest(quoted, F.lit(0)).cast("long").alias("n_quoted"), F.when(F.col("text").rlike("(?m)" + MARKS), spoken(F.col("text"))).otherwise(F.col("text")).alias("text"))
     out = cut.join(placed, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", F.coalesce("linked", F.lit(False)).alias("linked"), "n_quoted", "text")
+
+
+def oracle() -> str:
+    """link() in SQL: passages join by their normal text instead of its hash, threads by recursion."""
+    marks, intro = MARKS, INTRODUCTION
+    return rf"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, string_split_regex(coalesce(text, ''), '\r?\n') AS l FROM conversations),
+n AS (SELECT conv_id, turn, l, row_number() OVER () AS id FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+li AS (SELECT id, conv_id, turn, r.i, length(regexp_replace(regexp_extract(l[r.i], '{marks}'), '[^>]', '', 'g')) AS level,
+  trim(regexp_replace(lower(regexp_replace(l[r.i], '{marks}', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS said FROM n, LATERAL (SELECT unnest(range(1, len(n.l) + 1)) AS i) r),
+s AS (SELECT * FROM li WHERE said <> ''),
+f AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY id ORDER BY i) THEN 0 ELSE 1 END AS new FROM s),
+g AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS run FROM f),
+p AS (SELECT conv_id, turn, level, said FROM s UNION ALL
+  SELECT conv_id, turn, level, string_agg(said, ' ' ORDER BY i) FROM g GROUP BY id, conv_id, turn, level, run HAVING count(*) > 1),
+own AS (SELECT conv_id, said, min(turn) AS origin FROM p WHERE level = 0 GROUP BY conv_id, said),
+q AS (SELECT conv_id, turn, said, min(level) AS level, max(length(said)) AS weight FROM p WHERE level > 0 GROUP BY conv_id, turn, said),
+v AS (SELECT q.conv_id, q.turn, own.origin, min(q.level) AS level, sum(q.weight) AS weight FROM q JOIN own ON q.conv_id = own.conv_id AND q.said = own.said WHERE own.origin < q.turn GROUP BY q.conv_id, q.turn, own.origin),
+b AS (SELECT conv_id, turn, origin FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, weight DESC, origin DESC) AS k FROM v) t WHERE k = 1),
+d AS (SELECT DISTINCT conv_id, turn FROM n),
+e AS (SELECT d.conv_id, d.turn, coalesce(b.origin, x.turn) AS parent_turn, b.origin IS NOT NULL AS linked FROM d LEFT JOIN b ON d.conv_id = b.conv_id AND d.turn = b.turn LEFT JOIN d x ON x.conv_id = d.conv_id AND x.turn + 1 = d.turn),
+t AS (SELECT conv_id, turn, parent_turn, linked, turn AS root_turn, CAST(0 AS BIGINT) AS depth FROM e WHERE parent_turn IS NULL
+  UNION ALL SELECT e.conv_id, e.turn, e.parent_turn, e.linked, t.root_turn, t.depth + 1 FROM e JOIN t ON e.conv_id = t.conv_id AND e.parent_turn = t.turn)
+SELECT m.conv_id, m.turn, m.role, t.parent_turn, t.root_turn, t.depth, coalesce(t.linked, false) AS linked,
+  CASE WHEN m.text IS NULL THEN 0 ELSE CAST(len(list_filter(m.l, lambda x: regexp_matches(x, '{marks}'))) AS BIGINT) END AS n_quoted,
+  CASE WHEN len(list_filter(m.l, lambda x: regexp_matches(x, '{marks}'))) > 0
+    THEN trim(array_to_string(list_filter(m.l, lambda x: NOT regexp_matches(x, '{marks}') AND NOT regexp_matches(x, '{intro}')), chr(10))) ELSE m.text END AS text
+FROM m LEFT JOIN t ON m.conv_id = t.conv_id AND m.turn = t.turn
+"""

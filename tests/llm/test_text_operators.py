@@ -139,6 +139,15 @@ def test_quotes(spark):
     assert not got[1, 5]["linked"] and got[3, 9]["linked"] and got[2, 0]["text"] is None and got[None, 1]["root_turn"] is None
     assert quotes.link(df).count() == len(rows) and quotes.link(df.limit(0)).count() == 0
 
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    columns = quotes.link(df).columns
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({quotes.oracle()}) t").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in quotes.link(df).collect())
+
 
 def test_toxicity_on_held_out_rows(spark, docs):
     import random
