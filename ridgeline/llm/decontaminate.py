@@ -1,15 +1,16 @@
 """Benchmark decontamination by spaced-seed hashing. DataFrame functions only.
 
 A mask picks some positions of a window of words and ignores the rest; two windows whose picked words
-agree get the same hash although ignored words differ. Test items are hashed at every position under
-every mask; documents at every ``stride``-th position. A run of span + stride - 1 words that a document
-shares with an item holds a whole window at such a position, so unbroken overlaps of that length always
-meet, and broken ones whenever some mask ignores the substituted words of such a window. Each hit is
-verified on its diagonal: of the ``verify`` words around it at least ``agreement`` must be equal.
-
-The words of a document are exploded inside one code-generated stage: no shuffle before the join, and
-only verified hits are shuffled. The item seeds are broadcast after their number has been checked
-against ``broadcast_seeds``; beyond that, Spark joins both sides by hash.
+agree get the same hash although ignored words differ. Test items and documents are hashed at every
+position under every mask, so unbroken overlaps of a mask's span always meet, and broken ones whenever
+some mask ignores the substituted words of some window. Each hit is verified on its diagonal: of the
+``verify`` words around it at least ``agreement`` must be equal. Items shorter than a span have no window;
+they are met whole, word for word.
+
+Each word is hashed once and windows combine these hashes. They are exploded inside one code-generated
+stage: no shuffle before the join, and only verified hits are shuffled. The item seeds are broadcast
+after their number has been checked against ``broadcast_seeds``; beyond that, Spark joins both sides by
+hash, and a document's row holds only the words around its window.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from .common import text_or_empty
 #: 1 picks the word, 0 ignores it. Weight 7 of span 11; each position is ignored by one at least.
 MASKS = ("11101001011", "10110110101", "01111100110", "11010101101")
 SPAN = len(MASKS[0])
-STRIDE = 4
 
 
 def words(text: Column) -> Column:
@@ -30,57 +30,81 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def seed_hash(tokens: Column, at: Column, mask: int) -> Column:
-    """Hash of the words that the mask picks from the window at a position; the mask's number is part."""
-    picked = [F.get(tokens, at + k) for k, bit in enumerate(MASKS[mask]) if bit == "1"]
-    return F.xxhash64(F.lit(mask), *picked)
+def word_hashes(tokens: str) -> Column:
+    return F.transform(tokens, lambda word: F.xxhash64(word))
 
 
-def seeds(tokens: Column, at: Column) -> Column:
-    return F.array(*[seed_hash(tokens, at, m) for m in range(len(MASKS))])
+def window(at: str) -> list[Column]:
+    """The word hashes of the window at a position, as columns: each is looked up once for all masks."""
+    return [F.get("hashes", F.col(at) + k).alias(f"h{k}") for k in range(SPAN)]
 
 
-def places(tokens: str, step: int) -> Column:
+def seeds() -> Column:
+    """By mask, the hash of what it picks from window(); the mask's number is part."""
+    return F.array(*[F.xxhash64(F.lit(m), *[F.col(f"h{k}") for k, bit in enumerate(mask) if bit == "1"]) for m, mask in enumerate(MASKS)])
+
+
+def places(tokens: str, span: int = SPAN) -> Column:
     """Positions of whole windows; null, and so none when exploded, for a shorter array."""
-    last = F.size(tokens) - SPAN
-    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)))
+    last = F.size(tokens) - span
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
 
 
 def item_seeds(benchmark: DataFrame) -> DataFrame:
     """benchmark(item_id, text) -> (seed, item_id, q): one row per item, window and mask."""
     items = benchmark.select("item_id", words(text_or_empty()).alias("item"))
-    at = items.select("item_id", "item", F.explode(places("item", 1)).alias("q"))
-    return at.select("item_id", "q", F.explode(seeds(F.col("item"), F.col("q"))).alias("seed"))
+    at = items.select("item_id", "item", word_hashes("item").alias("hashes")).select("item_id", "hashes", F.explode(places("item")).alias("q"))
+    return at.select("item_id", "q", *window("q")).select("item_id", "q", F.explode(seeds()).alias("seed"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, verify: int = 15, agreement: float = 0.8, broadcast_seeds: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, position, equal): verified overlaps, at least one for each document and item that meet."""
     spread = item_seeds(benchmark)
-    items = benchmark.select("item_id", words(text_or_empty()).alias("item")).where(F.size("item") >= SPAN)
-    few = spread.count() <= broadcast_seeds
+    items = benchmark.select("item_id", words(text_or_empty()).alias("item"))
+    n = F.size("item")
+    counted = items.agg(F.sum(F.greatest(n - (SPAN - 1), F.lit(0)) * len(MASKS)), F.sum(F.when(n.between(1, SPAN - 1), 1)), F.collect_set(F.when(n.between(1, SPAN - 1), n)))
+    n_seeds, n_short, lengths = counted.first()
+    few = (n_seeds or 0) <= broadcast_seeds
     hint = F.broadcast if few else (lambda df: df)
 
     tokens = docs.select("doc_id", words(text_or_empty()).alias("tokens"))
-    at = tokens.select("doc_id", "tokens", F.explode(places("tokens", STRIDE)).alias("p"))
-    seeded = at.select("doc_id", "tokens", "p", F.explode(seeds(F.col("tokens"), F.col("p"))).alias("seed"))
-    met = seeded.join(hint(spread), "seed").join(hint(items), "item_id")
+    hashed = tokens.select("doc_id", "tokens", word_hashes("tokens").alias("hashes"))  # below the explode: once per word
+    at = hashed.select("doc_id", "tokens", "hashes", F.explode(places("tokens")).alias("p"))
+    # rows that are shuffled hold what may be verified, not the whole text; left is the position it begins at
+    left = F.lit(0) if few else F.greatest(F.col("p") - (verify - SPAN), F.lit(0))
+    held = F.col("tokens") if few else F.slice("tokens", left + 1, 2 * verify - SPAN)
+    at = at.select("doc_id", held.alias("tokens"), left.alias("left"), "p", *window("p"))
+    seeded = at.select("doc_id", "tokens", "left", "p", F.explode(seeds()).alias("seed"))
+    met = seeded.join(hint(spread), "seed").join(hint(items.where(n >= SPAN)), "item_id")
 
     # the window to verify: as many words before as after the seed, moved inside the item
-    length = F.least(F.size("item"), F.lit(verify))
-    first = F.greatest(F.lit(0), F.least(F.col("q") - (verify - SPAN) // 2, F.size("item") - length))
-    met = met.select("doc_id", "item_id", "tokens", "item", "p", first.alias("i"), (F.col("p") - F.col("q") + first).alias("d"), length.alias("n"))
-    same = [
-        F.when((F.lit(k) < F.col("n")) & (F.get("tokens", F.col("d") + k) == F.get("item", F.col("i") + k)), 1).otherwise(0)
-        for k in range(verify)
-    ]
-    equal = sum(same[1:], same[0])
-    return met.withColumn("equal", equal).where(F.col("equal") >= F.ceil(F.col("n") * agreement)).select("doc_id", "item_id", F.col("p").alias("position"), "equal")
+    length = F.least(n, F.lit(verify))
+    first = F.greatest(F.lit(0), F.least(F.col("q") - (verify - SPAN) // 2, n - length))
+    met = met.select("doc_id", "item_id", "tokens", "item", "p", first.alias("i"), (F.col("p") - F.col("q") + first - F.col("left")).alias("d"), length.alias("n"))
+    # counted by a function over positions: written out word by word, the stage's code is too long to be compiled
+    same = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.get("tokens", F.col("d") + k) == F.get("item", F.col("i") + k))
+    equal = F.size(same)
+    found = met.withColumn("equal", equal).where(F.col("equal") >= F.ceil(F.col("n") * agreement)).select("doc_id", "item_id", F.col("p").alias("position"), "equal")
+    if lengths:
+        found = found.unionByName(short_hits(tokens, items.where(n.between(1, SPAN - 1)), sorted(lengths), n_short <= broadcast_seeds))
+    return found
+
+
+def short_hits(tokens: DataFrame, items: DataFrame, lengths: list[int], few: bool) -> DataFrame:
+    """hits() of items of fewer words than a span: runs of a document of such a length, joined by the words themselves."""
+    run = lambda df, at, n: F.array_join(F.slice(df, at + 1, n), " ")
+    by = items.select("item_id", F.array_join("item", " ").alias("run"), F.size("item").alias("equal"))
+    at = tokens.select("doc_id", "tokens", F.explode(places("tokens", lengths[0])).alias("p"))
+    runs = F.array(*[F.when(F.col("p") + n <= F.size("tokens"), run("tokens", F.col("p"), F.lit(n))) for n in lengths])
+    said = at.select("doc_id", F.col("p").alias("position"), F.explode(runs).alias("run"))
+    return said.join(F.broadcast(by) if few else by, "run").select("doc_id", "item_id", "position", "equal")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """(doc_id, item_id, n_hits, best): each document and benchmark item that share a passage, once.
 
-    Null and empty texts, texts and items shorter than a mask's span, and rows without ids take no part.
+    Null and empty texts and rows without ids take no part. Items shorter than a mask's span are found where
+    all their words stand in a row.
     Repeated documents give one row for their doc_id. Empty tables give no rows. Other columns of either
     table are not read.
     """

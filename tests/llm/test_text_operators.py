@@ -1,3 +1,4 @@
+import itertools
 import re
 import zlib
 
@@ -176,3 +177,36 @@ def test_toxicity_on_held_out_rows(spark, docs):
 def test_xxhash_seed_is_that_of_the_contract(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b"))).first()[0] & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b", 42)
     assert re.fullmatch("[01]+", decontaminate.MASKS[0])
+
+
+def test_decontamination_meets_substituted_passages(spark, docs):
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (11, 12, 13, 15)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    want, rows, of = {}, [], {}
+
+    def add(n, changed, at):
+        said = [f"new{k}" if k in changed else w for k, w in enumerate(items[n])]
+        of[len(rows)] = (n, len(changed))
+        rows.append((len(rows), " ".join([f"a{k}" for k in range(20 + at)] + said + [f"z{k}" for k in range(20)])))
+
+    for at in range(4):
+        for n in (11, 12, 13):
+            add(n, (), at)
+        for count in (2, 3):
+            for changed in itertools.combinations(range(15), count):
+                add(15, changed, at)
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs(*rows), bench).collect()}
+    assert all(of[i][0] == n for i, n in found)
+    for key in of.values():
+        want[key] = want.get(key, 0) + 1
+    recall = {key: sum(of[i] == key for i, _ in found) / all_of for key, all_of in want.items()}
+    assert recall[11, 0] == recall[12, 0] == recall[13, 0] == 1
+    assert recall[15, 2] >= 0.99 and recall[15, 3] >= 0.87
+
+
+def test_decontamination_meets_short_items_whole(spark, docs):
+    bench = spark.createDataFrame([(1, "Four words, no more"), (2, "one two three four five six seven eight nine ten"), (3, "!"), (4, "lone")], "item_id long, text string")
+    rows = [(30, "four words no more"), (31, "a b four WORDS: no more c"), (32, "four words no"), (33, "x one two three four five six seven eight nine ten"), (34, "one two three four five six seven eight nine x ten"), (35, "lone"), (36, "alone")]
+    for many in (1_000_000, 0):
+        got = sorted((r["doc_id"], r["item_id"], r["n_hits"], r["best"]) for r in decontaminate.overlaps(docs(*rows), bench, broadcast_seeds=many).collect())
+        assert got == [(30, 1, 1, 4), (31, 1, 1, 4), (33, 2, 1, 10), (35, 4, 1, 1)]
