@@ -1,7 +1,7 @@
 """License scans by ordered signature rules. DataFrame functions only.
 
-Texts become words (A-Z lower-cased), joined by single spaces. A few keywords decide whether a text is
-looked at, each rule's own keyword whether its regex runs. Every match is an interval with a priority;
+Texts become words (A-Z lower-cased), joined by single spaces. Each rule has a keyword that all its matches
+hold: a text with none of them is not looked at, and a rule's regex runs where its own is. Every match is an interval with a priority;
 one inside another of no lower priority is suppressed, so "apache license version 2 0" leaves one label,
 not two. All of it is one expression per row: no shuffle and no join, and hot sources cost nothing extra.
 """
@@ -57,18 +57,20 @@ FAMILIES = (
     ("openssl", "openssl", "openssl license", ()),
     ("ofl", "open font", "(?:sil )?open font license", ("1 0", "1 1")),
     ("cc0", "cc0", "cc0(?: universal)?", ("1 0",)),
-    ("cc-by-nc-nd", "cc", "(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s)", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", "cc", "cc by nc sa", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "cc", "cc by nc", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", "cc", "cc by nd", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "cc", "cc by sa", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by", "cc", "cc by", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-nd", "cc by", "cc by nc nd", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-nd", "cc attribution", "cc attribution non ?commercial no ?deriv(?:ative)?s", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-nd", "creative commons", "creative commons (?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s)", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-sa", "cc by", "cc by nc sa", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc", "cc by", "cc by nc", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nd", "cc by", "cc by nd", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-sa", "cc by", "cc by sa", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by", "cc by", "cc by", ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by-sa", "creative commons", "creative commons attribution share ?alike", ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nc", "creative commons", "creative commons attribution non ?commercial", ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by", "creative commons", "creative commons attribution", ("2 0", "2 5", "3 0", "4 0")),
     ("ms-pl", "microsoft public", "microsoft public license", ()),
     ("odbl", "open database", "(?:open data commons )?open database license", ("1 0",)),
-    ("etalab", "etalab", "licence ouverte(?: etalab)?", ("1 0", "2 0")),
+    ("etalab", "licence ouverte", "licence ouverte(?: etalab)?", ("1 0", "2 0")),
     ("llama", "llama", "llama [0-9 ]*community license", ()),
     ("openrail", "openrail", "(?:creativeml )?openrail(?: m)?(?: license)?", ()),
 )
@@ -83,7 +85,7 @@ SIGNATURES = (
     ("gpl", "free software", "is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("lgpl", "free software", "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("agpl", "free software", "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("apache-2.0", "apache", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "in compliance", "you may not use this file except in compliance with the license"),
     ("apache-2.0", "apache", "www apache org licenses license 2 0"),
     ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("mpl-2.0", "mozilla", "mozilla org mpl 2 0"),
@@ -104,8 +106,6 @@ SIGNATURES = (
 UNDER = "(?:licensed|released|distributed|published|available|provided) under (?:the terms of )?(?:the |an? )?"
 #: By kind of rule: priority and how sure it is.
 KINDS = {"spdx": (4, 1.0), "signature": (4, 0.95), "grant": (3, 0.9), "version": (2, 0.85), "name": (1, 0.7), "base": (0, 0.7)}
-#: A text without any of these has no license words.
-GATE = ("licen", "cc", "copyright", "permission", "redistribut", "gpl", "spdx", "public domain", "rights reserved", "proprietary")
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -137,6 +137,17 @@ def rule_array(table: list[tuple]) -> Column:
     return F.from_json(F.lit(json.dumps([dict(zip(names, rule)) for rule in table])), schema)
 
 
+def gated(lower: Column, keywords: list[str]) -> Column:
+    """Whether a text can hold a keyword: its words may stand apart, so each is looked for by itself."""
+    gate = F.lit(False)
+    for keyword in keywords:
+        here = F.lit(True)
+        for word in sorted(keyword.split(), key=len, reverse=True):
+            here = here & F.contains(lower, F.lit(word))
+        gate = gate | here
+    return gate
+
+
 def intervals(norm: Column, rule: Column) -> Column:
     """All matches of a rule as structs (start, stop, label, priority, weight)."""
     matches = F.regexp_extract_all(norm, rule["regex"], F.lit(0))
@@ -176,14 +187,13 @@ def scan(docs: DataFrame, table: list[tuple] | None = None) -> DataFrame:
     text are not read.
     """
     table = rules() if table is None else table
-    keywords = F.array(*map(F.lit, sorted({r[0] for r in table})))
+    known = sorted({r[0] for r in table})
+    keywords = F.array(*map(F.lit, known))
     # lower() also folds other letters, which changes no word boundary and makes no ASCII word but by "K"
     # (Kelvin), which no base phrase holds; unlike translate() it does not look up every character
     lower = F.lower(text_or_empty())
     rows = docs.select("doc_id", F.array_remove(F.split(lower, NOT_WORD), "").alias("words"), lower.alias("lower"))
-    gate = F.lit(False)
-    for k in GATE:
-        gate = gate | F.contains("lower", F.lit(k)) if " " not in k else gate | (F.contains("lower", F.lit(k.split()[0])) & F.contains("lower", F.lit(k.split()[1])))
+    gate = gated(F.col("lower"), sorted({*known, *(phrase for phrase, _ in BASE)}))
     rows = rows.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), gate.alias("gate"))
     rows = rows.withColumn("norm", F.when(F.col("gate"), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))))
     rows = rows.withColumn("base", F.when(F.col("gate"), base_places(F.col("words"))))

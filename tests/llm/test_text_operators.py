@@ -100,6 +100,52 @@ def test_contained_detections_are_suppressed(spark, docs):
     assert r["labels"] == "cc-by,cc-by-nc-4.0" and r["base_labels"] == "cc-by"
 
 
+def samples(regex):
+    """Texts that a regex over words matches: every alternative, optional parts left out and put in."""
+
+    def walk(parsed):
+        out = [""]
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "NOT_LITERAL":
+                more = ["x"]
+            elif name == "IN":
+                more = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+            elif name == "SUBPATTERN":
+                more = walk(arg[3])
+            elif name == "BRANCH":
+                more = [x for branch in arg[1] for x in walk(branch)]
+            elif name == "MAX_REPEAT":
+                more = [x * n for n in sorted({arg[0], max(arg[0], 1)}) for x in walk(arg[2])]
+            else:
+                assert name in ("ASSERT", "ASSERT_NOT"), name
+                more = [""]
+            out = list(dict.fromkeys(a + b for a in out for b in more))
+        return out
+
+    return walk(re._parser.parse(regex))
+
+
+def test_every_license_rule_fires_on_its_own_match(spark, docs):
+    of = [(rule, text) for rule in licenses.rules() for text in samples(rule[1])]
+    assert all(re.fullmatch(rule[1].removeprefix("(?<= )").removesuffix("(?= )"), text) and rule[0] in text for rule, text in of)
+    got = {r["doc_id"]: r for r in licenses.scan(docs(*((i, text) for i, (_, text) in enumerate(of)))).collect()}
+    assert [text for i, (rule, text) in enumerate(of) if not got[i]["labels"] or got[i]["score"] < rule[4]] == []
+
+
+def test_license_names_without_license_words(spark, docs):
+    want = {
+        "MPL 2.0": "mpl-2.0", "https://mozilla.org/MPL/2.0/": "mpl-2.0", "WTFPL": "wtfpl", "released under the BSD 3-Clause": "bsd-3-clause", "FreeBSD": "bsd-2-clause",
+        "simplified BSD": "bsd-2-clause", "CreativeML OpenRAIL-M": "openrail", "with Reserved\nFont Name": "ofl", "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa-4.0",
+        "Creative Commons Attribution NonCommercial NoDerivs License": "cc-by-nc-nd", "Licence Ouverte 2.0": "etalab-2.0", "You may not use this file except in compliance with the License.": "apache-2.0",
+        "success of an account by others": "",
+    }
+    rows = licenses.scan(docs(*enumerate(want))).collect()
+    assert {list(want)[r["doc_id"]]: r["labels"] for r in rows} == want
+
+
 ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
 
 
