@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text")).mapInPandas(run, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = 2048) -> tuple[list[tuple], int]:

@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 import zlib
 
@@ -8,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ridgeline.llm import decontaminate, licenses, packing, quotes, sharding, toxicity, wordpiece
+from ridgeline.llm import decontaminate, licenses, packing, quotes, sharding, tokenize, toxicity, wordpiece
 
 from .conftest import ODD
 
@@ -37,6 +38,17 @@ def test_packing_is_whole_and_tight(spark, docs):
     assert packing.pack(docs((1, "a")).limit(0)).count() == 0
 
 
+def test_cached_ids_equal_the_tokenizer():
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(3)
+    parts = ["a", "b", "Z", "H", "T", "İ", "ß", "É", "é", "ñ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "'s", "'", "!", "&&", "<|", "|>", "endoftext"]
+    parts += ["<|endoftext|>", "<|ENDOFTEXT|>", "\u0301", "\u0331", "1", "²", "漢", "\U0001f600", "ſ", "\u212a", "Σ", "ς", "µ", "ª", "_", '"', "(", "word", "ÿ", "÷", "\0"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(5000)]
+    for own in (tokenize.WordEncoder(), tokenize.WordEncoder(cache_entries=300, cache_bytes=10_000)):  # the second forgets often
+        got = [ids for i in range(0, len(texts), 250) for ids in own.encode([t.encode() for t in texts[i : i + 250]])]
+        assert got == [tokenize.packed(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_plan_uses_every_piece_once():
     counts = {2048: 3, 1500: 7, 1100: 5, 900: 11, 700: 2, 600: 40, 33: 200, 1: 500}
     runs, sequences = packing.plan(counts)
