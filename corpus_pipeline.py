@@ -15,33 +15,42 @@ from ridgeline.llm.common import drop_table, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised model scores under one half."""
+    """Documents that the weakly supervised model scores under one half, columns as they are.
+
+    Null and empty texts score like texts without any feature. Rows without a doc_id are scored and train
+    nothing. Repeated rows are each judged alike. An empty table stays empty.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    return toxicity.score(docs, model, "__toxic").where("__toxic < 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one with the least doc_id.
-
-    Rows without doc_id all stay. Of repeated rows (doc_id and text alike) one stays.
-    """
-    found = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("least"), (F.count(F.lit(1)) > 1).alias("__repeated"))
-    kept = found.where("doc_id = least").select(F.col("doc_id").alias("__kept"), "__repeated")
-    joined = docs.join(kept, docs["doc_id"] == kept["__kept"])
-    once = joined.where(~F.col("__repeated")).select(*docs.columns)
-    repeated = joined.where("__repeated").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each near-duplicate component: the one with the least doc_id (see simhash.deduplicate)."""
+    return simhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with a benchmark item (see decontaminate.clean).
+
+    Null and empty texts and rows without a doc_id share none, and stay. Of rows that share a doc_id all go
+    if one does. An empty table, or an empty benchmark, changes nothing.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind in brackets (see pii.redact).
+
+    Null texts stay null, empty ones empty; rows without a doc_id and repeated rows are redacted alike.
+    """
     return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences (see packing.pack): null and empty texts are one end id each,
+
+    repeated rows and rows without a doc_id are packed each. An empty table gives no pieces.
+    """
     return packing.pack(docs)
 
 

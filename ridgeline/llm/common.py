@@ -14,14 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, else (tests, one machine) an own one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor sees: spark.checkpoint.dir; on a local master, where all is one machine, else an own one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ridgeline-"))
         found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="ridgeline-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir() or found
     return found
 
 
@@ -48,6 +47,20 @@ def drop_table(df: DataFrame) -> None:
     fs.delete(hadoop_path, True)
 
 
+def join_hot(big: DataFrame, small: DataFrame, key: str, total: int, least: int = 10_000) -> DataFrame:
+    """big JOIN small on key, without its column n: small has a row per key, n is the key's rows in big of ``total``.
+
+    Keys with more than a thousandth of all rows, a thousand at most, are broadcast, so that their rows stay
+    where they are; the others are shuffled.
+    """
+    if total <= least:
+        return big.join(small.drop("n"), key)
+    over = F.col("n") > max(least, total // 1000)
+    hot = small.where(over).drop("n")
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(~over).drop("n"), key)
+    return rest.unionByName(big.join(F.broadcast(hot), key))
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

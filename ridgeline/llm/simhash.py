@@ -3,33 +3,41 @@
 Fingerprints: 64 bits, bit k is 1 when more than half of a text's shingle hashes have it. Links:
 fingerprints that differ in at most ``max_diff`` bits. Components: what links reach.
 
-Plan. Only distinct fingerprints are compared, so copies cost nothing. Two fingerprints within
-``max_diff`` bits agree on at least one of ``max_diff + 1`` bit blocks; each fingerprint goes to one
-cell per block (linear in the input), and a cell's members are searched with an index in Gray order:
-leaves are runs of neighbours in Gray rank, each node keeps the bits all below it share, less those a
-node above already holds, and a search adds up differences level by level and drops a whole group
-once they exceed ``max_diff``. A cell yields a spanning star of its links (at most one row a member,
-never all pairs). Cells with more than ``cell_cap`` members are cut into chunks, and every pair of
-chunks becomes a cell of its own, so the search stays exact and no task holds more than two chunks.
+Plan. Only distinct fingerprints are compared, so copies cost nothing. Fingerprints are dealt to cells of
+about ``cell_codes`` members, and each cell is searched with an index in Gray order: its members sorted by
+Gray rank, each node keeps the bits all below it share, less those a node above already holds, and a search
+adds up differences level by level and drops a whole group once they exceed ``max_diff``, or once all of it
+is known to be in the asking fingerprint's component. Single codes are compared at the leaves only. A cell
+yields a spanning star of its links (at most one row a member, never all pairs).
+
+Cells. Of ``max_diff + m`` bit blocks, two linked fingerprints agree on m at least; a fingerprint goes to
+one cell for each choice of m blocks, keyed by as many of their bits as the number of fingerprints asks
+for. No bits are needed for few of them (one cell); m grows when the blocks' bits run out, so that
+cells stay of one size and the work in proportion to the input. Cells that still have more than
+``cell_cap`` members are cut into chunks, and every pair of chunks becomes a cell of its own, so the
+search stays exact and no task holds more than two chunks.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_or_empty
+from .common import join_hot, materialise, text_or_empty
 from .components import components
 
-FANOUT = 16
-BRUTE = 256
+FANOUT = 8
 FLUSH_ROWS = 200_000
+#: Stands for a missing doc_id among nodes, which order by doc_id.
+LAST = (1 << 63) - 1
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -56,11 +64,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """documents -> (doc_id, fp long). Whole texts; null and empty texts have fingerprint zero."""
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _print_of(shingle)(text_or_empty()).alias("fp"))
+
+
+def _print_of(shingle: int):
     @F.pandas_udf(T.LongType())
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp(text_or_empty()).alias("fp"))
+    return fp
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -91,8 +103,21 @@ class GrayIndex:
             self.residual.append(mask & ~parent)
             above = mask
 
-    def search(self, queries: np.ndarray, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query position, code position) of all pairs at most max_diff bits apart."""
+    def uniform(self, labels: np.ndarray) -> list[np.ndarray]:
+        """By level, the label that all codes below a node have; -1 where they differ."""
+        low = high = labels[self.order]
+        out = [low]
+        for _ in self.levels[1:]:
+            cuts = np.arange(0, len(low), FANOUT)
+            low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            out.append(np.where(low == high, low, -1))
+        return out[::-1]
+
+    def search(self, queries: np.ndarray, max_diff: int, of: np.ndarray | None = None, settled: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query position, code position) of the pairs at most max_diff bits apart.
+
+        With ``settled`` (see uniform), groups whose label is that of the query (``of``) are left out.
+        """
         top = len(self.levels[0][0])
         q = np.repeat(np.arange(len(queries)), top)
         node = np.tile(np.arange(top), len(queries))
@@ -106,6 +131,8 @@ class GrayIndex:
                 q, spent = q[parent], spent[parent]
             spent = spent + np.bitwise_count((queries[q] ^ value[node]) & self.residual[depth][node])
             keep = spent <= max_diff
+            if settled is not None:
+                keep &= settled[depth][node] != of[q]
             q, node, spent = q[keep], node[keep], spent[keep]
         return q, self.order[node]
 
@@ -130,43 +157,27 @@ def merge(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def cell_roots(codes: np.ndarray, max_diff: int) -> np.ndarray:
     """For each distinct code, the position of the first code of its component inside one cell."""
     labels = np.arange(len(codes))
-    if len(codes) <= BRUTE:
-        a, b = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= max_diff, 1))
-        return merge(labels, a, b)
     index = GrayIndex(codes)
     for at in range(0, len(codes), 256):
         block = index.order[at : at + 256]  # neighbours in Gray order share what they visit
-        q, found = index.search(codes[block], max_diff)
+        q, found = index.search(codes[block], max_diff, labels[block], index.uniform(labels))
         labels = merge(labels, block[q], found)
     return labels
 
 
 def link_cells(cells: Iterator[pd.DataFrame], max_diff: int) -> Iterator[pd.DataFrame]:
-    """Rows (cell, fp) sorted by cell -> (a, b): each member of a component and its first member."""
+    """Rows (cell, fp, doc) sorted by cell -> (doc, fp, to_doc, to_fp): each member of a component and its first member."""
 
     def flush(rows: pd.DataFrame) -> pd.DataFrame:
-        cell, codes = rows["cell"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        cell, signed, doc = (rows[c].to_numpy() for c in ("cell", "fp", "doc"))
         cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
-        sizes = np.diff(cuts)
-        a, b = [], []
-        small = np.repeat(sizes <= 32, sizes)  # all small cells at once: compare with the d-th row on
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        labels, hits = np.arange(len(codes)), []
-        at = np.flatnonzero(small)
-        for d in range(1, min(32, int(sizes[sizes <= 32].max(initial=1)))):
-            i = at[at + d < len(codes)]
-            i = i[group[i] == group[i + d]]
-            i = i[np.bitwise_count(codes[i] ^ codes[i + d]) <= max_diff]
-            hits.append((i, i + d))
-        if hits:
-            labels = merge(labels, np.concatenate([x for x, _ in hits]), np.concatenate([y for _, y in hits]))
-        for k in np.flatnonzero(sizes > 32):
-            part = slice(cuts[k], cuts[k + 1])
-            labels[part] = cuts[k] + cell_roots(codes[part], max_diff)
-        linked = np.flatnonzero(labels != np.arange(len(codes)))
-        signed = codes.view(np.int64)
-        a, b = signed[linked], signed[labels[linked]]
-        return pd.DataFrame({"a": a, "b": b})
+        labels = np.arange(len(signed))
+        for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if stop - start > 1:
+                labels[start:stop] = start + cell_roots(signed[start:stop].view(np.uint64), max_diff)
+        linked = np.flatnonzero(labels != np.arange(len(labels)))
+        to = labels[linked]
+        return pd.DataFrame({"doc": doc[linked], "fp": signed[linked], "to_doc": doc[to], "to_fp": signed[to]})
 
     held: list[pd.DataFrame] = []
     rows = 0
@@ -185,44 +196,56 @@ def link_cells(cells: Iterator[pd.DataFrame], max_diff: int) -> Iterator[pd.Data
         yield flush(pd.concat(held, ignore_index=True))
 
 
-def block_bounds(parts: int) -> list[tuple[int, int]]:
-    """(shift, width) of contiguous blocks that cover 64 bits."""
+def cell_keys(codes: int, cell_codes: int, max_diff: int) -> list[list[tuple[int, int]]]:
+    """For each cell a fingerprint goes to, the (shift, width) of the bits that make its key."""
+    bits = max(0, math.ceil(math.log2(max(codes, 1) / cell_codes)))
+    if not bits:
+        return [[]]
+    m = next((m for m in range(1, 5) if m * (64 // (max_diff + m)) >= bits), 4)
+    parts = max_diff + m
     edges = [round(64 * i / parts) for i in range(parts + 1)]
-    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
-
-
-def links(codes: DataFrame, max_diff: int = 4, cell_cap: int = 20_000) -> DataFrame:
-    """codes(fp long, distinct) -> edges(a, b) whose components are those of all links."""
-    blocks = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("block"),
-                F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << width) - 1)).alias("key"),
-            )
-            for i, (lo, width) in enumerate(block_bounds(max_diff + 1))
-        ]
-    )
-    keyed = codes.select("fp", F.inline(blocks))
-    full = (
-        keyed.groupBy("block", "key").count().where(F.col("count") > cell_cap)
-        .select("block", "key", F.ceil(F.col("count") * 2 / cell_cap).cast("int").alias("chunks"))
-    )
+    share = math.ceil(bits / m)
+    return [[(edges[i], min(share, edges[i + 1] - edges[i])) for i in chosen] for chosen in itertools.combinations(range(parts), m)]
+
+
+def cell_key(number: int, taken: list[tuple[int, int]]) -> Column:
+    picked = [F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)) for shift, width in taken]
+    return F.xxhash64(F.lit(number), *picked)
+
+
+def links(codes: DataFrame, total: int, max_diff: int = 4, cell_codes: int = 1024, cell_cap: int = 20_000) -> DataFrame:
+    """codes(fp long, distinct; doc long) -> edges(a, b) of structs (doc, fp) whose components are those of all links.
+
+    total is the number of codes, by which cells are laid out; any number gives the same components.
+    """
+    keys = F.array(*[cell_key(i, taken) for i, taken in enumerate(cell_keys(total, cell_codes, max_diff))])
+    keyed = codes.select("fp", "doc", F.explode(keys).alias("key"))
+    full = keyed.groupBy("key").count().where(F.col("count") > cell_cap).select("key", F.ceil(F.col("count") * 2 / cell_cap).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int")
     # a member of chunk c joins the cells {c, other} for every other chunk; one chunk: a single cell
     pairs = F.transform(
         F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1),
-        lambda other: F.xxhash64("block", "key", F.least("chunk", other), F.greatest("chunk", other)),
-    )
-    cells = (
-        keyed.join(full, ["block", "key"], "left")
-        .withColumn("chunk", chunk)
-        .select("fp", F.explode(pairs).alias("cell"))
+        lambda other: F.xxhash64("key", F.least("chunk", other), F.greatest("chunk", other)),
     )
+    cells = keyed.join(full, "key", "left").withColumn("chunk", chunk).select("fp", "doc", F.explode(pairs).alias("cell"))
     dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    return dealt.select("cell", "fp").mapInPandas(lambda it: link_cells(it, max_diff), "a long, b long")
+    found = dealt.select("cell", "fp", "doc").mapInPandas(lambda it: link_cells(it, max_diff), "doc long, fp long, to_doc long, to_fp long")
+    return found.select(F.struct("doc", "fp").alias("a"), F.struct(F.col("to_doc").alias("doc"), F.col("to_fp").alias("fp")).alias("b"))
+
+
+def groups(prints: DataFrame, max_diff: int = 4, **how) -> DataFrame:
+    """(doc_id, fp) -> (fp, n, root): each distinct fingerprint, its rows, and its component's least node.
+
+    A node is the struct (doc, fp) of a fingerprint's least doc_id (LAST without one) and the fingerprint.
+    """
+    least = F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("doc")
+    distinct = materialise(prints.groupBy("fp").agg(least, F.count(F.lit(1)).alias("n")), "distinct")
+    found = components(links(distinct.select("fp", "doc"), distinct.count(), max_diff, **how))
+    roots = found.select(F.col("node.fp").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", F.struct("doc", "fp")).alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_diff: int = 4, cell_cap: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_diff: int = 4, **how) -> DataFrame:
     """documents -> (doc_id, fp, component_id), one row per input row.
 
     component_id is the least doc_id that links reach, the row itself included; rows without a doc_id
@@ -231,13 +254,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_diff: int = 4, cell_c
     rows. Columns other than doc_id and text are not read.
     """
     prints = materialise(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_doc")), "distinct")
-    roots = components(links(distinct.select("fp"), max_diff, cell_cap))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = rooted.select("fp", "least_doc", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    found = groups(prints, max_diff, **how)
+    named = materialise(found.select("fp", "n", F.nullif("root.doc", F.lit(LAST)).alias("component_id")), "named")
+    return join_hot(prints, named, "fp", prints.count()).select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 4, max_diff: int = 4, **how) -> DataFrame:
+    """One row of each near-duplicate component, columns as they are.
+
+    The row of the component's least doc_id stays; rows without a doc_id come last, so one of them stays only
+    where a component has no other. Of several such rows (repeated or missing ids) the one of the least
+    fingerprint, then the least text, stays. Null and empty texts are one component. An empty table stays empty.
+    """
+    prints = materialise(fingerprints(docs, shingle), "fingerprints")
+    stay = materialise(groups(prints, max_diff, **how).where("fp = root.fp").select(F.col("root.doc").alias("__doc"), F.col("fp").alias("__fp")), "stay")
+    ids = materialise(prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"), F.min("fp").alias("__fp")), "ids")
+    alone = ids.where("doc_id IS NOT NULL AND __n = 1")
+    kept = alone.join(stay, (F.col("doc_id") == F.col("__doc")) & (alone["__fp"] == stay["__fp"])).select("__doc")
+    once = docs.join(kept, docs["doc_id"] == F.col("__doc"), "left_semi")
+    shared = ids.where("doc_id IS NULL OR __n > 1").select(F.coalesce("doc_id", F.lit(LAST)).alias("__doc"))
+    if shared.isEmpty():
+        return once
+    # rows whose id does not tell them apart: by their own fingerprint, of which stay has one a component
+    again = docs.withColumn("__doc", F.coalesce("doc_id", F.lit(LAST))).join(shared, "__doc", "left_semi")
+    again = again.withColumn("__fp", _print_of(shingle)(text_or_empty())).join(stay, ["__doc", "__fp"])
+    first = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), text_or_empty()).alias("__row")
+    return once.unionByName(again.groupBy("__doc", "__fp").agg(first).select("__row.*"))
 
 
 def fp_hex(fp: str = "fp"):

@@ -234,8 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, features: i
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """documents -> their columns and ``score`` (0 to 1); null texts score like empty ones."""
+def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """documents -> their columns and a score (0 to 1) in column ``into``; null texts score like empty ones."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred weights
 
     @F.pandas_udf("double")
@@ -244,7 +244,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.Series([one(t) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", scored(text_or_empty()))
+    return docs.select("*", scored(text_or_empty()).alias(into))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -2,8 +2,10 @@ import itertools
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from ridgeline.llm import multiindex, simhash
+from ridgeline.llm.common import join_hot
 from ridgeline.llm.components import components
 
 from .conftest import ODD
@@ -61,14 +63,40 @@ def test_links_of_crowded_cells(spark):
     for i in range(len(codes)):
         j = np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= 4)
         label = simhash.merge(label, np.full(len(j), i), j)
-    df = spark.createDataFrame([(int(x),) for x in codes.view(np.int64)], "fp long")
-    for cap in (50, 20_000):  # cells cut into chunks, and whole
-        edges = simhash.links(df, cell_cap=cap).toPandas()
+    df = spark.createDataFrame([(int(x), int(x) >> 3) for x in codes.view(np.int64)], "fp long, doc long")
+    for total, cap in ((len(codes), 20_000), (len(codes), 50), (10**5, 20_000), (10**8, 20_000), (10**8, 50), (10**10, 20_000)):  # few and many bits a key, cells cut into chunks and whole
+        edges = simhash.links(df, total, cell_cap=cap).select("a.fp", F.col("b.fp").alias("to")).toPandas()
         at = {int(x): i for i, x in enumerate(codes.view(np.int64))}
-        mine = simhash.merge(np.arange(len(codes)), edges["a"].map(at).to_numpy(), edges["b"].map(at).to_numpy())
+        mine = simhash.merge(np.arange(len(codes)), edges["fp"].map(at).to_numpy(), edges["to"].map(at).to_numpy())
         assert (mine == label).all()
 
 
+def test_cells_keep_one_size():
+    for n in (10, 1024, 5_000, 10**6, 10**8, 10**10, 10**11):
+        taken = simhash.cell_keys(n, 1024, 4)
+        assert n / 2 ** sum(width for _, width in taken[0]) <= 1100
+        for differ in itertools.combinations(range(0, 64, 5), 4):  # some cell's key holds none of any four bits
+            assert any(not any(lo <= bit < lo + width for bit in differ for lo, width in key) for key in taken)
+
+
+def test_whole_table_by_the_index_alone(spark, monkeypatch):
+    """All pairs of the registered query's fingerprints on sf0.01, by brute force and by the index, which answers each cell."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    codes = np.unique(np.array([fp for fp, _ in got.values()], dtype=np.int64).view(np.uint64))
+    a, b = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 4)
+    label = simhash.merge(np.arange(len(codes)), a, b)
+    of = dict(zip(codes.view(np.int64).tolist(), label.tolist()))
+    least = {}
+    for doc, (fp, _) in got.items():
+        least[of[fp]] = min(least.get(of[fp], doc), doc)
+    assert all(component == least[of[fp]] for fp, component in got.values())
+
+    asked, search = [], simhash.GrayIndex.search
+    monkeypatch.setattr(simhash.GrayIndex, "search", lambda self, queries, *how: (asked.append(len(queries)), search(self, queries, *how))[1])
+    assert (simhash.cell_roots(codes, 4) == label).all() and sum(asked) == len(codes) and len(simhash.cell_keys(len(codes), 1024, 4)) == 1
+
+
 def test_gray_index_equals_brute_force():
     rng = np.random.default_rng(2)
     codes = np.unique(rng.integers(0, 2**20, 3000, dtype=np.uint64))
@@ -124,3 +152,12 @@ def test_walk_visits_cells_in_order():
     a, b = rng.random(6), rng.random(7)
     order = multiindex.walk(a, b, np.ones(42, dtype=int), 42)
     assert order == sorted(range(42), key=lambda c: a[c // 7] + b[c % 7])
+
+
+def test_joins_and_components_with_hubs(spark):
+    big = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id")
+    small = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    plain, split = (sorted(map(tuple, join_hot(big, small, "k", 3000, least).select("k", "id", "top").collect())) for least in (10_000, 50))
+    assert plain == split and len(plain) == 3000
+    edges = spark.range(1, 12_000).selectExpr("CAST(0 AS BIGINT) AS a", "id AS b").union(spark.range(20_000, 20_050).selectExpr("id AS a", "id + 1 AS b"))
+    assert {(r["root"], r["count"]) for r in components(edges).groupBy("root").count().collect()} == {(0, 12_000), (20_000, 51)}
