@@ -147,6 +147,29 @@ def test_search(spark):
     assert multiindex.search(df.limit(0)).count() == 0
 
 
+def test_search_of_repeated_rows_and_hot_cells(spark):
+    """Ids that ask twice, a third of all rows alike, parts of few rows and queries: equal to brute force, as all cells are visited."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(200)] + [(100, [0.5] * 8), (100, [0.5] * 8)] + [(1000 + i, [1.0] * 8) for i in range(100)]
+    made = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, row string")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in multiindex.search(made, recall=1.0, part_rows=40, part_queries=2).collect())
+    want = []
+    for at, (query, v) in enumerate(rows):
+        if query % 100 == 0:
+            d = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i) for j, (i, w) in enumerate(rows) if j != at)
+            want += [(query, n + 1, i, round(s, 9)) for n, (s, i) in enumerate(d[:10])]
+    assert got == sorted(want)
+
+
+def test_cells_prune_clustered_vectors():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=8) * 4 + 0.1 * rng.normal(size=(100, 8)) for _ in range(40)])
+    books = multiindex.Codebooks(np.arange(len(x)), x, 20, 10, 0.96)
+    assert books.share < 0.1
+    first, number = multiindex.parts_of(np.array([5, 5, 50, 0, 3, 9]), 10)
+    assert first.tolist() == [0, 0, 1, 6, 6, 7] and number.tolist() == [1, 1, 5, 1, 1, 1]
+
+
 def test_walk_visits_cells_in_order():
     rng = np.random.default_rng(1)
     a, b = rng.random(6), rng.random(7)
