@@ -2,25 +2,31 @@
 
 Each message is parsed into lines with a quote level (leading ">" marks), consecutive lines of a level
 into passages. Quoted passages and their lines are normalised and hashed, and join the hashes of what
-earlier messages of the conversation said themselves. A message replies to the message that most of its
-outermost quotes come from (the latest of equals); without a match, to the message one turn before. The
-quoted lines, and the line that introduces them, are taken out.
-
-Scale. Joins are on (conversation, hash) or (conversation, turn), never on a conversation alone, and a
-hash keeps one original, its first message, so a line that everyone quotes adds one row per quote. Threads
-come from pointer doubling over (conversation, turn): as many rounds as the logarithm of the deepest reply.
-The order is two columns, (root_turn, turn): no conversation is gathered into one task.
+earlier messages of the conversation said themselves: of several, the latest before the quote is its
+original. A message replies to the message that most of its outermost quotes come from (the latest of
+equals); without a match, to the message one turn before.
+
+Cut out are quotes: blocks of consecutive marked lines of which a line or passage has an original, or which
+follow a line that introduces a quote, and that line with them. Other marked lines are the writer's own
+(code, prompts, comparisons) and stay.
+
+Scale. Joins are on (conversation, hash) or (conversation, turn), never on a conversation alone. Originals
+are found by running maxima inside buckets of turns and over buckets, so a line that everyone says and
+quotes is many small groups. Threads come from pointer doubling over (conversation, turn): as many rounds
+as the logarithm of the deepest reply. The order is two columns, (root_turn, turn): no conversation is
+gathered into one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialise, text_or_empty
+from .common import materialise, text_or_empty
 
 MARKS = r"^(?:[ \t]*>)+"
 INTRODUCTION = r"(?i)^(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
+BUCKET_TURNS = 4096
 
 
 def normal(line: Column) -> Column:
@@ -28,40 +34,57 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
+def parsed() -> Column:
+    """The lines of a text as structs (at, level, said): number, quote level and normal text; lines without words left out."""
+    level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), "[^>]", ""))
+    lines = F.transform(F.split(text_or_empty(), "\r?\n"), lambda x, i: F.struct(i.alias("at"), level(x).alias("level"), normal(F.regexp_replace(x, MARKS, "")).alias("said")))
+    return F.filter(lines, lambda x: x["said"] != "")
+
+
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, hash, weight): each passage, and each line of one, by hash of its normal text.
+    """messages(key, conv_id, turn, text) -> (key, conv_id, turn, at, level, hash, weight): each line, and each passage
+    of several lines, by hash of its normal text; at is the number of its first line.
 
     weight is the number of characters, so that a whole passage counts for more than a chance line.
     """
-    lines = messages.select("conv_id", "turn", F.posexplode(F.split(text_or_empty(), "\r?\n")).alias("at", "line"))
-    marks = F.regexp_extract("line", MARKS, 0)
-    lines = lines.select("conv_id", "turn", "at", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), normal(F.regexp_replace("line", MARKS, "")).alias("said"))
-    return lines.where("said <> ''").select("conv_id", "turn", "level", F.xxhash64("said").alias("hash"), F.length("said").alias("weight"))
-
-
-def runs(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, hash, weight) of whole passages: consecutive lines of one level, in one row per message."""
-    level = lambda line: F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 0), "[^>]", ""))
-    parsed = F.transform(F.split(text_or_empty(), "\r?\n"), lambda x: F.struct(level(x).alias("level"), normal(F.regexp_replace(x, MARKS, "")).alias("said")))
-    rows = messages.select("conv_id", "turn", F.filter(parsed, lambda x: x["said"] != "").alias("lines"))
+    keys = ("key", "conv_id", "turn")
+    rows = messages.select(*keys, parsed().alias("lines"))
+    said = lambda x: (F.xxhash64(x).alias("hash"), F.length(x).alias("weight"))
+    lines = rows.select(*keys, F.explode("lines").alias("x")).select(*keys, "x.at", "x.level", *said(F.col("x.said")))
     starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (F.get("lines", i)["level"] != F.get("lines", i - 1)["level"]))
-    rows = rows.where(F.size("lines") > 1).select("conv_id", "turn", "lines", starts.alias("starts"))
-    rows = rows.select("conv_id", "turn", "lines", "starts", F.posexplode("starts").alias("k", "first"))
+    many = rows.where(F.size("lines") > 1).select(*keys, "lines", starts.alias("starts"))
+    many = many.select(*keys, "lines", "starts", F.posexplode("starts").alias("k", "first"))
     stop = F.coalesce(F.get("starts", F.col("k") + 1), F.size("lines"))
-    said = F.array_join(F.transform(F.slice("lines", F.col("first") + 1, stop - F.col("first")), lambda x: x["said"]), " ")
-    rows = rows.where(stop - F.col("first") > 1).select("conv_id", "turn", F.get("lines", "first")["level"].alias("level"), said.alias("said"))
-    return rows.select("conv_id", "turn", "level", F.xxhash64("said").alias("hash"), F.length("said").alias("weight"))
+    whole = F.array_join(F.transform(F.slice("lines", F.col("first") + 1, stop - F.col("first")), lambda x: x["said"]), " ")
+    many = many.where(stop - F.col("first") > 1).select(*keys, F.get("lines", "first").alias("x"), whole.alias("said"))
+    return lines.unionByName(many.select(*keys, "x.at", "x.level", *said(F.col("said"))))
+
 
+def originals(quoted: DataFrame, own: DataFrame) -> DataFrame:
+    """quoted(conv_id, turn, hash, ...) with origin: the latest turn before theirs in own(conv_id, turn, hash)."""
+    key = ["conv_id", "hash"]
+    asked = quoted.withColumn("says", F.lit(None).cast("long"))
+    told = own.join(quoted.select(*key).distinct(), key, "left_semi").distinct().withColumn("says", F.col("turn"))
+    both = asked.unionByName(told, allowMissingColumns=True).withColumn("bucket", F.floor(F.col("turn") / BUCKET_TURNS))
+    earlier = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = both.groupBy(*key, "bucket").agg(F.max("says").alias("last")).withColumn("ahead", F.max("last").over(earlier)).drop("last")
+    before = Window.partitionBy(*key, "bucket").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("near", F.max("says").over(before)).where("says IS NULL")
+    found = near.join(buckets, [*key, "bucket"]).withColumn("origin", F.coalesce("near", "ahead"))
+    return found.where("origin IS NOT NULL").drop("bucket", "says", "near", "ahead")
 
-def parents(messages: DataFrame) -> DataFrame:
+
+def matched(messages: DataFrame, marked: DataFrame) -> DataFrame:
+    """(key, conv_id, turn, at, level, weight, origin): the quoted lines and passages of marked messages that have an original."""
+    quoted = passages(marked).where("level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL")
+    own = passages(messages.withColumn("key", F.lit(0))).where("level = 0").select("conv_id", "turn", "hash")
+    return materialise(originals(quoted, own), "quotes")
+
+
+def parents(messages: DataFrame, met: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn, linked) for each turn: linked tells a quote from the turn before."""
-    said = passages(messages).unionByName(runs(messages))
-    marked = messages.where(F.contains("text", F.lit(">")))  # no mark, no quote: most texts are parsed once only
-    quoting = passages(marked).unionByName(runs(marked))
-    own = said.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    quoted = quoting.where("level > 0").groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"), F.max("weight").alias("weight"))
-    met = quoted.join(own, ["conv_id", "hash"]).where("origin < turn")
-    votes = met.groupBy("conv_id", "turn", "origin").agg(F.min("level").alias("level"), F.sum("weight").alias("weight"))
+    once = met.groupBy("conv_id", "turn", "hash", "origin").agg(F.min("level").alias("level"), F.max("weight").alias("weight"))
+    votes = once.groupBy("conv_id", "turn", "origin").agg(F.min("level").alias("level"), F.sum("weight").alias("weight"))
     best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "weight", "origin"))["origin"].alias("quoted_turn"))
     turns = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("before"))
@@ -83,36 +106,54 @@ def threads(replies: DataFrame) -> DataFrame:
         F.col("parent_turn").isNull().alias("done"),
     )
     at = materialise(start, "threads")
+    finished = at.where("done")
     while not at.where("NOT done").isEmpty():
-        up = at.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        known = finished.unionByName(at.where("NOT done"))
+        up = known.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
         step = at.where("NOT done").drop("done").join(up, ["conv_id", "root_turn"])
         step = step.withColumns({"root_turn": F.col("next"), "depth": F.col("depth") + F.col("more"), "done": F.col("ends")})
-        after = materialise(at.where("done").unionByName(step.select(*columns)), "threads")
-        drop_table(at)
-        at = after
-    return at.drop("done")
+        at = materialise(step.select(*columns), "threads")
+        finished = finished.unionByName(at.where("done"))
+    return finished.drop("done")
 
 
-def spoken(text: Column) -> Column:
-    """The text without quoted lines and without the lines that introduce quotes."""
-    lines = F.split(text, "\r?\n")
-    own = F.filter(lines, lambda x: ~x.rlike(MARKS) & ~x.rlike(INTRODUCTION))
-    return F.trim(F.array_join(own, "\n"))
+def cut(marked: DataFrame, met: DataFrame) -> DataFrame:
+    """marked(key, text) -> (key, n_quoted, own): the number of lines cut as quotes, and the text without them.
+
+    One message's lines are put together in one row, as they came.
+    """
+    lines = marked.select("key", F.posexplode(F.split("text", "\r?\n")).alias("at", "line"))
+    lines = lines.select("key", "at", "line", F.col("line").rlike(MARKS).alias("mark"), F.col("line").rlike(INTRODUCTION).alias("intro"))
+    hits = met.select("key", "at").distinct().withColumn("hit", F.lit(True))
+    order = Window.partitionBy("key").orderBy("at")
+    before = lambda c: F.coalesce(F.lag(c).over(order), F.lit(False))
+    rows = lines.join(hits, ["key", "at"], "left").withColumns({"hit": F.coalesce("hit", F.lit(False)), "first": F.col("mark") & ~before("mark"), "under": F.col("mark") & before("intro")})
+    rows = rows.withColumn("block", F.sum(F.col("first").cast("int")).over(order))
+    whole = Window.partitionBy("key", "block", "mark")
+    rows = rows.withColumn("quote", F.col("mark") & F.max(F.col("hit") | F.col("under")).over(whole))
+    gone = F.col("quote") | (F.col("intro") & F.coalesce(F.lead("quote").over(order), F.lit(False)))
+    kept = rows.withColumn("gone", gone).groupBy("key").agg(F.count_if("quote").alias("n_quoted"), F.collect_list(F.when(~F.col("gone"), F.struct("at", "line"))).alias("left"))
+    return kept.select("key", "n_quoted", F.trim(F.array_join(F.transform(F.array_sort("left"), lambda x: x["line"]), "\n"), F.lit(" \t\r\n")).alias("own"))
 
 
 def link(messages: DataFrame) -> DataFrame:
     """conversations -> (conv_id, turn, role, parent_turn, root_turn, depth, linked, n_quoted, text), a row per row.
 
     Sorting by (conv_id, root_turn, turn) puts every reply after its message, threads together; depth is the
-    number of replies above. n_quoted counts the lines taken as quotes. Rows without conv_id or turn keep
-    null links. Null texts stay null, empty ones empty; repeated rows share their links. An empty table gives
-    no rows. Other columns are not read.
+    number of replies above. n_quoted counts the lines cut as quotes; a text of which none is cut stays as it
+    is. Rows without conv_id or turn keep null links, and only introduced quotes are cut from them. Null texts
+    stay null, empty ones empty; repeated rows share their links. An empty table gives no rows. Other columns
+    are not read.
     """
     rows = messages.select("conv_id", "turn", "role", "text")
-    placed = threads(parents(rows))
-    quoted = F.coalesce(F.size(F.filter(F.split("text", "\r?\n"), lambda x: x.rlike(MARKS))), F.lit(0))
-    cut = rows.select("conv_id", "turn", "role", F.greatest(quoted, F.lit(0)).cast("long").alias("n_quoted"), F.when(F.col("text").rlike("(?m)" + MARKS), spoken(F.col("text"))).otherwise(F.col("text")).alias("text"))
-    out = cut.join(placed, ["conv_id", "turn"], "left")
+    marks = F.coalesce(F.contains("text", F.lit(">")), F.lit(False))  # no mark, no quote: most texts are parsed once only
+    marked = materialise(rows.where(marks).withColumn("key", F.monotonically_increasing_id()), "marked")  # written, so keys stay
+    met = matched(rows, marked)
+    placed = threads(parents(rows, met))
+    plain = rows.where(~marks).withColumn("n_quoted", F.lit(0).cast("long"))
+    changed = marked.join(cut(marked, met), "key")
+    changed = changed.withColumn("text", F.when(F.col("n_quoted") > 0, F.col("own")).otherwise(F.col("text"))).drop("key", "own")
+    out = plain.unionByName(changed).join(placed, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", F.coalesce("linked", F.lit(False)).alias("linked"), "n_quoted", "text")
 
 
@@ -120,26 +161,31 @@ def oracle() -> str:
     """link() in SQL: passages join by their normal text instead of its hash, threads by recursion."""
     marks, intro = MARKS, INTRODUCTION
     return rf"""
-WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, string_split_regex(coalesce(text, ''), '\r?\n') AS l FROM conversations),
-n AS (SELECT conv_id, turn, l, row_number() OVER () AS id FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-li AS (SELECT id, conv_id, turn, r.i, length(regexp_replace(regexp_extract(l[r.i], '{marks}'), '[^>]', '', 'g')) AS level,
-  trim(regexp_replace(lower(regexp_replace(l[r.i], '{marks}', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS said FROM n, LATERAL (SELECT unnest(range(1, len(n.l) + 1)) AS i) r),
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, string_split_regex(coalesce(text, ''), '\r?\n') AS l, row_number() OVER () AS id FROM conversations),
+li AS (SELECT id, conv_id, turn, r.i, l[r.i] AS line, regexp_matches(l[r.i], '{marks}') AS mark, regexp_matches(l[r.i], '{intro}') AS intro,
+  length(regexp_replace(regexp_extract(l[r.i], '{marks}'), '[^>]', '', 'g')) AS level,
+  trim(regexp_replace(lower(regexp_replace(l[r.i], '{marks}', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS said FROM m, LATERAL (SELECT unnest(range(1, len(m.l) + 1)) AS i) r),
 s AS (SELECT * FROM li WHERE said <> ''),
 f AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY id ORDER BY i) THEN 0 ELSE 1 END AS new FROM s),
 g AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY i) AS run FROM f),
-p AS (SELECT conv_id, turn, level, said FROM s UNION ALL
-  SELECT conv_id, turn, level, string_agg(said, ' ' ORDER BY i) FROM g GROUP BY id, conv_id, turn, level, run HAVING count(*) > 1),
-own AS (SELECT conv_id, said, min(turn) AS origin FROM p WHERE level = 0 GROUP BY conv_id, said),
-q AS (SELECT conv_id, turn, said, min(level) AS level, max(length(said)) AS weight FROM p WHERE level > 0 GROUP BY conv_id, turn, said),
-v AS (SELECT q.conv_id, q.turn, own.origin, min(q.level) AS level, sum(q.weight) AS weight FROM q JOIN own ON q.conv_id = own.conv_id AND q.said = own.said WHERE own.origin < q.turn GROUP BY q.conv_id, q.turn, own.origin),
+p AS (SELECT id, conv_id, turn, level, i, said FROM s UNION ALL
+  SELECT id, conv_id, turn, level, min(i), string_agg(said, ' ' ORDER BY i) FROM g GROUP BY id, conv_id, turn, level, run HAVING count(*) > 1),
+own AS (SELECT DISTINCT conv_id, turn, said FROM p WHERE level = 0),
+q AS (SELECT p.id, p.conv_id, p.turn, p.level, p.i, p.said, max(own.turn) AS origin FROM p JOIN own ON p.conv_id = own.conv_id AND p.said = own.said AND own.turn < p.turn
+  WHERE p.level > 0 GROUP BY ALL),
+w AS (SELECT conv_id, turn, said, origin, min(level) AS level, max(length(said)) AS weight FROM q GROUP BY ALL),
+v AS (SELECT conv_id, turn, origin, min(level) AS level, sum(weight) AS weight FROM w GROUP BY ALL),
 b AS (SELECT conv_id, turn, origin FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, weight DESC, origin DESC) AS k FROM v) t WHERE k = 1),
-d AS (SELECT DISTINCT conv_id, turn FROM n),
+d AS (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 e AS (SELECT d.conv_id, d.turn, coalesce(b.origin, x.turn) AS parent_turn, b.origin IS NOT NULL AS linked FROM d LEFT JOIN b ON d.conv_id = b.conv_id AND d.turn = b.turn LEFT JOIN d x ON x.conv_id = d.conv_id AND x.turn + 1 = d.turn),
 t AS (SELECT conv_id, turn, parent_turn, linked, turn AS root_turn, CAST(0 AS BIGINT) AS depth FROM e WHERE parent_turn IS NULL
-  UNION ALL SELECT e.conv_id, e.turn, e.parent_turn, e.linked, t.root_turn, t.depth + 1 FROM e JOIN t ON e.conv_id = t.conv_id AND e.parent_turn = t.turn)
+  UNION ALL SELECT e.conv_id, e.turn, e.parent_turn, e.linked, t.root_turn, t.depth + 1 FROM e JOIN t ON e.conv_id = t.conv_id AND e.parent_turn = t.turn),
+c1 AS (SELECT li.*, EXISTS (SELECT 1 FROM q WHERE q.id = li.id AND q.i = li.i) AS hit, coalesce(lag(mark) OVER o, false) AS after_mark, coalesce(lag(intro) OVER o, false) AS after_intro FROM li WINDOW o AS (PARTITION BY id ORDER BY i)),
+c2 AS (SELECT *, sum(CASE WHEN mark AND NOT after_mark THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS block FROM c1),
+c3 AS (SELECT *, mark AND bool_or(hit OR (mark AND after_intro)) OVER (PARTITION BY id, block, mark) AS quote FROM c2),
+c4 AS (SELECT *, quote OR (intro AND coalesce(lead(quote) OVER (PARTITION BY id ORDER BY i), false)) AS gone FROM c3),
+c AS (SELECT id, CAST(count(*) FILTER (WHERE quote) AS BIGINT) AS n, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS own FROM c4 GROUP BY id)
 SELECT m.conv_id, m.turn, m.role, t.parent_turn, t.root_turn, t.depth, coalesce(t.linked, false) AS linked,
-  CASE WHEN m.text IS NULL THEN 0 ELSE CAST(len(list_filter(m.l, lambda x: regexp_matches(x, '{marks}'))) AS BIGINT) END AS n_quoted,
-  CASE WHEN len(list_filter(m.l, lambda x: regexp_matches(x, '{marks}'))) > 0
-    THEN trim(array_to_string(list_filter(m.l, lambda x: NOT regexp_matches(x, '{marks}') AND NOT regexp_matches(x, '{intro}')), chr(10))) ELSE m.text END AS text
-FROM m LEFT JOIN t ON m.conv_id = t.conv_id AND m.turn = t.turn
+  CASE WHEN m.text IS NULL THEN 0 ELSE c.n END AS n_quoted, CASE WHEN m.text IS NOT NULL AND c.n > 0 THEN trim(c.own, ' ' || chr(9) || chr(10) || chr(13)) ELSE m.text END AS text
+FROM m JOIN c ON m.id = c.id LEFT JOIN t ON m.conv_id = t.conv_id AND m.turn = t.turn
 """

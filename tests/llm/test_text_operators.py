@@ -189,6 +189,14 @@ def test_quotes(spark):
         (3, 4, "u", "gap"),
         (3, 9, "u", "> gap\nyes"),
         (3, 9, "u", "> gap\nyes"),
+        (4, 0, "u", "Thanks."),
+        (4, 1, "a", "You are welcome"),
+        (4, 2, "u", "Thanks."),
+        (4, 5000, "a", "> thanks\nfine"),
+        (4, 9000, "a", "> THANKS!\n\n>>> print(1)\n1"),
+        (5, 0, "u", ">>> print(1)\n1"),
+        (5, 1, "u", "On the board I wrote:\nbuy milk"),
+        (5, 2, "u", "On Monday, Bob wrote:\n> lost words\n>> more\nwhat?"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["turn"]): r for r in quotes.link(df).collect()}
@@ -196,6 +204,11 @@ def test_quotes(spark):
     assert [got[1, t]["depth"] for t in range(6)] == [0, 1, 1, 2, 2, 3]
     assert got[1, 2]["text"] == "I have the same question" and got[1, 3]["n_quoted"] == 3
     assert not got[1, 5]["linked"] and got[3, 9]["linked"] and got[2, 0]["text"] is None and got[None, 1]["root_turn"] is None
+    assert got[1, 5]["text"] == "> nothing known\nok" and got[1, 5]["n_quoted"] == 0
+    assert got[4, 5000]["parent_turn"] == got[4, 9000]["parent_turn"] == 2 and got[4, 9000]["text"] == ">>> print(1)\n1"  # the latest that said it
+    assert got[5, 0]["text"] == rows[-3][3] and got[5, 1]["text"] == rows[-2][3]
+    assert got[5, 2]["text"] == "what?" and got[5, 2]["n_quoted"] == 2 and not got[5, 2]["linked"]
+    assert quotes.link(df.withColumns({"hash": F.lit(1), "level": F.lit(2), "key": F.lit("x"), "at": F.lit(0)})).count() == len(rows)
     assert quotes.link(df).count() == len(rows) and quotes.link(df.limit(0)).count() == 0
 
     import duckdb
