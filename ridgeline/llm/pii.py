@@ -2,8 +2,12 @@
 
 The base rules (email, ip, card, phone) always select their spans. High-recall generators propose more,
 overlapping ones (obfuscated addresses, numbers without a plus, keys, account numbers); boosted trees
-(``pii_gbdt``) score each from its format and context, a kind's calibrated threshold selects, and of
-overlapping additions the likelier stays. Additions never replace or overlap a base span.
+(``pii_gbdt``) score each from its format and context, a kind's threshold selects, and of overlapping
+additions the likelier stays. Additions never replace or overlap a base span.
+
+Thresholds are calibrated on the documents themselves: one pass counts, by kind and score, the candidates of
+every text; from these counts (a hundred a kind) follows how frequent the kind is among them, which corrects
+the scores, and the least score from which the precision to be expected is reached.
 
 Spans are (kind, start, end) in code points, end exclusive. Every text is read whole, once.
 """
@@ -13,6 +17,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +39,15 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
 
-#: Generators of further candidates: kind, what a text must hold for them to run, pattern.
+#: Generators of further candidates: kind, what a text must hold for them to run, pattern. Counts in them are
+#: formats (groups of a number, labels of an address); runs of letters have no bound, and are entered once each.
 GENERATORS = (
-    ("email", "at", re.compile(r"[\w.+-]{1,64}\s?[\[(]\s?at\s?[\])]\s?[\w-]{1,64}(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[\w-]{1,24}){0,3}", re.I)),
-    ("email", "@", re.compile(r"(?<![\w@])[\w.+-]{1,64}@[\w-]{1,64}(?:\.[\w-]{1,24}){0,3}")),
+    ("email", "at", re.compile(r"(?<![\w.+-])[\w.+-]+\s?[\[(]\s?at\s?[\])]\s?[\w-]+(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[\w-]+){0,3}", re.I)),
+    ("email", "@", re.compile(r"(?<![\w@.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*")),
     ("ip", "0", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
     ("card", "0", re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]{0,2}[0-9]{3,6}){2,4}(?![0-9])")),
     ("phone", "0", re.compile(r"(?<![0-9A-Za-z])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-][0-9]{3,6}(?:[ .-]?[0-9]{2,6}){0,3}(?![0-9A-Za-z])")),
-    ("secret", "0", re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])[A-Za-z0-9_-]{28,128}(?![A-Za-z0-9])")),
+    ("secret", "0", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{28,}")),
     ("account", "0", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])")),
 )
 
@@ -65,7 +71,7 @@ def base_spans(text: str) -> list[Span]:
     if not DIGIT.search(text):
         return out
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(d) <= 3 and int(d or 0) <= 255 for d in (p.lstrip("0") for p in m[0].split("."))):
             out.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         digits = DIGITS.sub("", m[0])
@@ -89,13 +95,18 @@ def candidates(text: str) -> list[Span]:
     return out
 
 
-def added_spans(text: str, base: list[Span], model: pii_gbdt.SpanModel) -> list[Span]:
-    """Candidates that the model selects and that overlap neither a base span nor a likelier one."""
+def scored_candidates(text: str, base: list[Span], model: pii_gbdt.SpanModel) -> tuple[list[Span], np.ndarray]:
+    """Candidates that overlap no base span, and their probabilities."""
     taken = _disjoint([(s, e) for _, s, e in base])
     found = [c for c in candidates(text) if not _overlaps(taken, c[1], c[2])]
     if not found:
-        return []
-    p = model.probability(np.array([pii_gbdt.features(kind, text, s, e) for kind, s, e in found]))
+        return [], np.zeros(0)
+    return found, model.probability(np.array([pii_gbdt.features(kind, text, s, e) for kind, s, e in found]))
+
+
+def added_spans(text: str, base: list[Span], model: pii_gbdt.SpanModel) -> list[Span]:
+    """Candidates that the model selects and that overlap neither a base span nor a likelier one."""
+    found, p = scored_candidates(text, base, model)
     kept: list[Span] = []
     used: list[tuple[int, int]] = []
     for i in sorted(range(len(found)), key=lambda i: (-p[i], found[i][1], found[i][2], found[i][0])):
@@ -134,6 +145,24 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (order[x[0]], x[1], x[2])))
 
 
+def calibrated(docs: DataFrame) -> pii_gbdt.SpanModel:
+    """The model with thresholds set on the candidates of all documents; without any, those of its seed set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, counts = pii_gbdt.trained(), Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                found, p = scored_candidates(text, base_spans(text), model)
+                counts.update((kind, int(b)) for (kind, _, _), b in zip(found, pii_gbdt.bin_of(p)))
+        yield pd.DataFrame([(kind, b, n) for (kind, b), n in counts.items()], columns=["kind", "bin", "n"])
+
+    counted = docs.select(text_or_empty().alias("text")).mapInPandas(run, "kind string, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n"))
+    histograms = {kind: np.zeros(pii_gbdt.BINS) for kind in pii_gbdt.KINDS}
+    for r in counted.collect():  # kinds by bins, at most 600 rows
+        histograms[r["kind"]][r["bin"]] = r["n"]
+    return pii_gbdt.trained().calibrated(histograms)
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """documents -> (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added), a row per row.
 
@@ -141,9 +170,10 @@ def detect(docs: DataFrame) -> DataFrame:
     returned; an empty table gives no rows. Columns other than doc_id and text are not read.
     """
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE_KINDS) + ", base_sha256 string, spans string, n_added long"
+    thresholds = calibrated(docs).thresholds
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = pii_gbdt.trained()
+        model = pii_gbdt.trained().with_thresholds(thresholds)
         for batch in batches:
             rows = []
             for text in batch["text"]:
@@ -181,9 +211,11 @@ def redact(docs: DataFrame) -> DataFrame:
     n_chars, if there, is counted anew where the text changed.
     """
 
+    thresholds = calibrated(docs).thresholds
+
     @F.pandas_udf("string")
     def redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = pii_gbdt.trained()
+        model = pii_gbdt.trained().with_thresholds(thresholds)
         for texts in batches:
             yield pd.Series([None if t is None else redact_text(t, model) for t in texts], dtype=object)
 

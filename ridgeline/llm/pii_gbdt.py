@@ -3,7 +3,10 @@
 No table marks personal data, so the trees learn from a fixed, generated seed set: renderings of the
 kinds of spans that count as personal data, and look-alikes that do not (versions, order numbers, dates,
 measures, failed checksums), each in a context of its own. Two thirds train the trees, one third
-calibrates margins to probabilities and sets each kind's threshold.
+calibrates margins to probabilities. A kind is rarer or commoner among the candidates of documents than in
+the seed set, which is half of each: how frequent it is there is estimated from the scores of all candidates
+(expectation maximisation of the class share), scores are corrected for it, and a kind's threshold is the
+least score that is likelier true than not and from which the corrected scores promise the precision asked for.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import functools
 import math
 import random
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -30,6 +33,8 @@ AGAINST = ("version", "order", "invoice", "isbn", "section", "page", "build", "r
 #: Top-level domains that count as common.
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu")
 CONTEXT = 32
+#: Scores are counted in this many bins of log odds, from -REACH to REACH.
+BINS, REACH = 100, 10.0
 
 
 def luhn(digits: str) -> bool:
@@ -185,14 +190,59 @@ class SpanModel:
     slope: float
     shift: float
     thresholds: dict[str, float]
+    seed_counts: dict[str, np.ndarray]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.trees.margin(x) + self.shift, -30, 30)))
 
+    def with_thresholds(self, thresholds: dict[str, float]) -> "SpanModel":
+        return replace(self, thresholds=thresholds)
+
+    def calibrated(self, counts: dict[str, np.ndarray], precision: float = 0.97, seed_weight: float = 20) -> "SpanModel":
+        """Thresholds for candidates of which counts[kind] have a score in each of BINS bins.
+
+        ``seed_weight`` candidates spread like those of the seed set are added, so that a kind with few or no
+        candidates keeps about the threshold of the seed set.
+        """
+        found = {}
+        for kind in KINDS:
+            seed = self.seed_counts[kind]
+            n = counts[kind] + seed_weight * seed / max(seed.sum(), 1)
+            corrected = posterior(class_share(n))
+            mean = np.cumsum((n * corrected)[::-1]) / np.maximum(np.cumsum(n[::-1]), 1e-12)  # of this bin and all above
+            good = np.flatnonzero((mean >= precision) & (corrected[::-1] >= 0.5) & (n[::-1] > 0))
+            lower = odds_at(BINS - 1 - good[-1]) if len(good) and good[-1] < BINS - 1 else 0.0  # the first bin has no lower end
+            found[kind] = float(lower / (1 + lower)) if len(good) else 1.1
+        return self.with_thresholds(found)
+
+
+def bin_of(p: np.ndarray) -> np.ndarray:
+    odds = np.log(np.clip(p, 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9)))
+    return np.clip((odds + REACH) / (2 * REACH) * BINS, 0, BINS - 1).astype(int)
+
+
+def odds_at(place: np.ndarray) -> np.ndarray:
+    """The odds at a place on the scale of bins: 0 the first's lower end, BINS the last's upper one."""
+    return np.exp(np.asarray(place) * (2 * REACH / BINS) - REACH)
+
+
+def posterior(share: float) -> np.ndarray:
+    """Probabilities of the bins' middles, which hold for classes of equal size, where one has that share."""
+    odds = odds_at(np.arange(BINS) + 0.5) * share / (1 - share)
+    return odds / (1 + odds)
+
+
+def class_share(n: np.ndarray, rounds: int = 200) -> float:
+    """The share of class 1 that makes the counts of scores likeliest (scores hold for classes of equal size)."""
+    share = 0.5
+    for _ in range(rounds):
+        share = float(np.clip((n * posterior(share)).sum() / max(n.sum(), 1e-12), 1e-6, 1 - 1e-6))
+    return share
+
 
 @functools.cache
-def trained(precision: float = 0.97) -> SpanModel:
-    """The model fitted to the seed set; thresholds are the least that reach ``precision`` on its last third."""
+def trained() -> SpanModel:
+    """The model fitted to the seed set, with thresholds for candidates like those of its last third."""
     examples = seed_examples()
     x = np.array([features(*e[:4]) for e in examples])
     y = np.array([float(e[4]) for e in examples])
@@ -204,12 +254,8 @@ def trained(precision: float = 0.97) -> SpanModel:
         p = 1 / (1 + np.exp(-(slope * margin + shift)))
         slope -= 0.05 * float(((p - truth) * margin).mean())
         shift -= 0.05 * float((p - truth).mean())
-    model = SpanModel(trees, slope, shift, {})
-    p = model.probability(x[fold == 2])
+    model = SpanModel(trees, slope, shift, {}, {})
+    bins = bin_of(model.probability(x[fold == 2]))
     kinds = np.array([e[0] for e in examples])[fold == 2]
-    for kind in KINDS:
-        at = np.argsort(-p[kinds == kind])
-        hits = np.cumsum(truth[kinds == kind][at]) / np.arange(1, len(at) + 1)
-        good = np.flatnonzero(hits >= precision)
-        model.thresholds[kind] = float(max(0.5, p[kinds == kind][at][good[-1]])) if len(good) else 1.1
-    return model
+    model.seed_counts = {kind: np.bincount(bins[kinds == kind], minlength=BINS).astype(float) for kind in KINDS}
+    return model.calibrated({kind: np.zeros(BINS) for kind in KINDS})
