@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -104,7 +105,7 @@ def test_licenses(spark, docs):
     assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(places), places[0], places[-1])
     assert r["base_labels"] == "apache,cc-by,gpl,mit" and "apache-2.0" in r["labels"].split(",") and 0 < r["score"] <= 1
     assert rows[10]["first_word"] is None and rows[10]["labels"] == "" and rows[10]["score"] == 0 and rows[1]["n_words"] == 0
-    assert len(licenses.rules()) > 200
+    assert len(licenses.FAMILIES) + len(licenses.SIGNATURES) > 200
 
 
 def test_contained_detections_are_suppressed(spark, docs):
@@ -142,7 +143,7 @@ def samples(regex):
 
 def test_every_license_rule_fires_on_its_own_match(spark, docs):
     of = [(rule, text) for rule in licenses.rules() for text in samples(rule[1])]
-    assert all(re.fullmatch(rule[1].removeprefix("(?<= )").removesuffix("(?= )"), text) and rule[0] in text for rule, text in of)
+    assert all(re.fullmatch(rule[1].removeprefix("(?<= )").removesuffix("(?= )"), text) and f" {rule[0]} " in f" {text} " for rule, text in of)
     got = {r["doc_id"]: r for r in licenses.scan(docs(*((i, text) for i, (_, text) in enumerate(of)))).collect()}
     assert [text for i, (rule, text) in enumerate(of) if not got[i]["labels"] or got[i]["score"] < rule[4]] == []
 
@@ -158,6 +159,35 @@ def test_license_names_without_license_words(spark, docs):
     assert {list(want)[r["doc_id"]]: r["labels"] for r in rows} == want
 
 
+def plain_license_scan(text, table):
+    """(labels, score) by every rule at every place, and every detection held against every other."""
+    words = licenses.words_of(text)
+    norm, found = f" {' '.join(words)} ", set()
+    for _, regex, label, priority, weight in table:
+        found |= {(*m.span(), label, priority, weight) for m in re.finditer(regex, norm)}
+    inside = lambda d, e: e[3] >= d[3] and e[0] <= d[0] and e[1] >= d[1] and (e[1] - e[0] > d[1] - d[0] or e[3] > d[3])
+    stays = [d for d in found if not any(inside(d, e) for e in found)]
+    base = [label for phrase, label in licenses.BASE if f" {phrase} " in norm]
+    return ",".join(sorted({*base, *(d[2] for d in stays)})), max([0.0, *(d[4] for d in stays), *([licenses.KINDS["base"][1]] if base else [])])
+
+
+def test_license_scan_equals_all_rules_and_pairs(spark, docs):
+    table, r = licenses.rules(), random.Random(12)
+    matches = [x for rule in r.sample(table, 200) for x in samples(rule[1])[:3]]
+    texts = [" ".join(r.choice(matches) if r.random() < 0.6 else r.choice(["the", "license", "version 2", "under", "gnu", "by"]) for _ in range(r.randint(1, 12))) for _ in range(250)]
+    texts += ["the mit license and " * 700, "gpl " * 900 + "gnu general public license version 3 " * 300]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs(*enumerate(texts))).collect()}
+    want = [plain_license_scan(t, table) if len(t) < 10_000 else None for t in texts]
+    assert [(t, got[i], w) for i, (t, w) in enumerate(zip(texts, want)) if w and got[i] != w] == []
+    assert got[250] == ("mit", 0.7) and got[251] == ("gpl,gpl-3", 0.85)
+
+
+def test_license_scan_is_linear_in_matches(spark, docs):
+    began = time.time()
+    row = licenses.scan(docs((1, "the mit license and " * 100_000))).first()
+    assert (row["n_base"], row["labels"]) == (100_000, "mit") and time.time() - began < 60
+
+
 ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
 
 
