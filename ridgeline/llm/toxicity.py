@@ -1,10 +1,13 @@
 """Toxicity by weak supervision.
 
-1. A bounded sample (``sample_rows`` training documents, labelled ones first, least hash first) gives
-   counts of words and word beginnings among toxic and other documents.
-2. Voters: a fixed lexicon, surface patterns and the ``mined`` features that set the classes apart most.
-3. A generative label model (EM) estimates each voter's accuracy; voters that still agree once the class
-   is known are correlated, and share their weight. Its posterior is the label to learn.
+1. A bounded sample (``sample_rows`` training documents, three quarters of them labelled where there are as many, least
+   hash first) gives counts of words and word beginnings among toxic and other documents.
+2. Voters: fixed lexicons of insults and of courtesy, surface patterns, and lexicons mined from the labelled
+   rows (the fixed ones are English, texts are not); fewer mined ones than fixed.
+3. A generative label model (EM) estimates each voter's accuracy and correlations: voters that still agree
+   once the class is known share their weight. The labelled rows anchor it, and it decides the others by
+   its votes alone. Its posterior is the label to learn; where a label is known it is one more vote, of
+   accuracy ``trust``.
 4. A logistic regression over word and word-beginning features learns the posterior; its margin is
    calibrated on the sample's known labels, and one pass scores every whole text.
 
@@ -33,10 +36,18 @@ LEXICON = {
     "filth": ["trash", "garbage", "scum", "filth", "vermin", "disgusting"],
     "mockery": ["clown", "joke", "laughable", "ridiculous"],
 }
+#: Words of courtesy, which vote against.
+COURTESY = ["please", "thanks", "thank", "welcome", "sorry", "bitte", "danke", "merci", "gracias"]
+#: Over lower-case texts.
 PATTERNS = {
     "addressed": re.compile(r"\byou(?:'re| are| were) (?:a |an |such |so |all )"),
-    "command": re.compile(r"\b(?:shut up|get lost|go away|go to hell)\b"),
+    "called": re.compile(r"\b(?:you|du|tu|vous) (?:little|stupid|dirty|dumme[rs]?|sale|maldit[oa]) "),
+    "command": re.compile(r"\b(?:shut up|get lost|go away|go to hell|drop dead|piss off)\b"),
+    "hate": re.compile(r"\b(?:i|we|everyone|nobody) (?:hates?|despises?|likes?|wants?) (?:you|them|your)\b"),
+    "wish": re.compile(r"\b(?:hope|wish) (?:you|they) (?:die|fail|suffer|rot)\b"),
+    "sweeping": re.compile(r"\b(?:all|every one) of (?:you|them|those) (?:are|is)\b"),
     "shouting": re.compile(r"!{3,}"),
+    "masked": re.compile(r"\b[^\W\d_]+[*#@$%]{2,}[^\W\d_]*"),
 }
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 8
@@ -122,46 +133,55 @@ def feature_counts(sample: DataFrame, flush: int = 300_000) -> DataFrame:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` documents outside the held-out fold: labelled ones first, then by hash."""
+    """(doc_id, text, toxic, labelled): at most ``rows`` documents outside the held-out fold, by hash.
+
+    Three quarters are labelled; of the others the label, if there is one, is known but not to be used as one. Those
+    without a label come first among them.
+    """
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = docs.where(~held_out()).where("doc_id IS NOT NULL").select("doc_id").distinct()
-    chosen = (
-        ids.join(known, "doc_id", "left")
-        .orderBy(F.col("toxic").isNull(), F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
+    ids = docs.where(~held_out()).where("doc_id IS NOT NULL").select("doc_id").distinct().join(known, "doc_id", "left")
+    anchors = ids.where("toxic IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows * 3 // 4).withColumn("labelled", F.lit(True))
+    others = ids.join(F.broadcast(anchors.select("doc_id")), "doc_id", "left_anti").orderBy(F.col("toxic").isNotNull(), F.xxhash64("doc_id"), "doc_id")
+    chosen = anchors.unionByName(others.limit(rows - rows * 3 // 4).withColumn("labelled", F.lit(False)))
     picked = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    return picked.where("text <> ''").select("doc_id", "text", "toxic")
+    return picked.where("text <> ''").select("doc_id", "text", "toxic", "labelled")
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 20, trust: float = 0.97, tied: float = 0.2) -> tuple[np.ndarray, dict]:
-    """Posterior of class 1 for each row of votes (+1, -1, 0 for none), and what was estimated.
+def label_model(votes: np.ndarray, anchors: np.ndarray | None = None, rounds: int = 100, tied: float = 0.2) -> tuple[np.ndarray, dict]:
+    """Posterior of class 1 for each row of votes (+1, -1, 0 for none) by its votes alone, and what was estimated.
 
-    known holds 1, 0 or nan: where there is a label it is one more voter, of fixed accuracy ``trust``,
-    which keeps EM on the class that the labels mean. Residual correlations above ``tied`` share weight.
+    EM of a model in which a voter's votes depend on the class only, started from the votes themselves (voters
+    are taken to be right more often than not). anchors (1, 0, nan for most) are rows whose class is known
+    while accuracies are estimated; their own posterior does not use it. Where voters still agree once the
+    class is known, their residual correlation is over ``tied``, and they share their weight.
     """
+    anchors = np.full(len(votes), np.nan) if anchors is None else anchors
+    fixed = ~np.isnan(anchors)
     n, m = votes.shape
     outcomes = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-    start = np.clip((votes > 0).sum(1) - 0.5 * (votes < 0).sum(1), 0, 1)
-    posterior = np.where(np.isnan(known), start * 0.9 + 0.05, np.nan_to_num(known) * 0.9 + 0.05)
-    trusted = np.where(np.isnan(known), 0, np.log(trust / (1 - trust)) * (2 * np.nan_to_num(known) - 1))
-    weight = np.ones(m)
-    correlation = np.zeros((m, m))
+    spoken = np.maximum((votes != 0).sum(1), 1)
+    posterior = 0.05 + 0.9 * np.clip(0.5 + 0.5 * votes.sum(1) / spoken, 0, 1)
+    weight, correlation = np.ones(m), np.zeros((m, m))
     for step in range(rounds):
-        prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
+        held = np.where(fixed, np.nan_to_num(anchors), posterior)
+        prior = np.clip(held.mean(), 1e-3, 1 - 1e-3)
         tables = []
-        for p in (1 - posterior, posterior):
+        for p in (1 - held, held):
             totals = np.einsum("n,nmv->mv", p, outcomes) + np.array([0.5, 1.0, 0.5])
             tables.append(totals / totals.sum(1, keepdims=True))
         odds = np.einsum("nmv,mv->nm", outcomes, np.log(tables[1]) - np.log(tables[0]))
-        posterior = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + trusted + odds @ weight, -30, 30)))
+        after = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + odds @ weight, -30, 30)))
+        still = np.abs(after - posterior).max() < 1e-6
+        posterior = after
         if step % 5 == 4:
-            expected = posterior[:, None] * (tables[1] @ [-1, 0, 1]) + (1 - posterior)[:, None] * (tables[0] @ [-1, 0, 1])
+            expected = held[:, None] * (tables[1] @ [-1, 0, 1]) + (1 - held)[:, None] * (tables[0] @ [-1, 0, 1])
             rest = votes - expected
             spread = np.sqrt((rest**2).mean(0)) + 1e-6
             correlation = (rest.T @ rest / n) / np.outer(spread, spread)
             np.fill_diagonal(correlation, 0)
             weight = 1 / (1 + np.where(correlation > tied, correlation, 0).sum(1))
+        elif still and step > 10:
+            break
     accuracy = (tables[1][:, 2] * prior + tables[0][:, 0] * (1 - prior)) / np.maximum(1e-9, 1 - tables[1][:, 1] * prior - tables[0][:, 1] * (1 - prior))
     return posterior, {"accuracy": accuracy, "correlation": correlation, "weight": weight, "prior": prior}
 
@@ -182,7 +202,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 40) -> np.nda
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, features: int = 400, mined: int = 150, l2: float = 0.3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, features: int = 400, mined: int = 150, lexicons: int = 12, trust: float = 0.97, l2: float = 0.3) -> Model:
     """Train on a sample of at most ``sample_rows`` documents; the driver gets their feature counts only.
 
     Without labelled training rows the fixed lexicon is all there is to learn from; with no rows at all,
@@ -191,16 +211,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, features: i
     fixed = [w + "$" for words in LEXICON.values() for w in words]
     fallback = Model(fixed, np.full(len(fixed), 3.0), -2.0)
     sample = materialise(training_sample(docs, labels, sample_rows), "toxic_sample")
-    classes = sample.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
+    labelled = sample.withColumn("toxic", F.when(F.col("labelled"), F.col("toxic")))
+    classes = labelled.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     if not classes[0] or not classes[1]:
         return fallback
     pos, neg = classes
     share = (F.col("pos") + F.col("neg")) / F.lit(float(pos + neg))
     gap = F.col("pos") / F.lit(float(pos)) - F.col("neg") / F.lit(float(neg))
     z = gap / F.sqrt(share * (1 - share) * F.lit(1 / pos + 1 / neg) + F.lit(1e-9))
-    ranked = feature_counts(sample).where(F.col("pos") >= max(3, pos // 300)).withColumn("z", z)
+    ranked = feature_counts(labelled).where(F.col("pos") >= max(3, pos // 300)).withColumn("z", z)
     chosen = [r["feature"] for r in ranked.orderBy(F.desc("z"), "feature").limit(features).collect()]
-    names = list(dict.fromkeys([*chosen, *fixed]))
+    names = list(dict.fromkeys([*chosen, *fixed, *(w + "$" for w in COURTESY)]))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(names)
@@ -208,21 +229,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, features: i
             counts = [matcher.count(t) for t in batch["text"]]
             flags = [[bool(p.search(t.lower())) for p in PATTERNS.values()] for t in batch["text"]]
             yield pd.DataFrame({
-                "place": [list(c) for c in counts], "n": [list(c.values()) for c in counts], "flags": flags, "toxic": batch["toxic"].to_numpy(),
+                "place": [list(c) for c in counts], "n": [list(c.values()) for c in counts], "flags": flags, "toxic": batch["toxic"].to_numpy(), "labelled": batch["labelled"].to_numpy(),
             })
 
-    rows = sample.select("text", F.col("toxic").cast("double").alias("toxic")).mapInPandas(count, "place array<int>, n array<long>, flags array<boolean>, toxic double").collect()
+    counted = labelled.select("text", F.col("toxic").cast("double").alias("toxic"), "labelled")
+    rows = counted.mapInPandas(count, "place array<int>, n array<long>, flags array<boolean>, toxic double, labelled boolean").collect()
     x = np.zeros((len(rows), len(names)))
     for i, r in enumerate(rows):
         x[i, r["place"]] = np.log1p(r["n"])
     known = np.array([np.nan if r["toxic"] is None else float(r["toxic"] > 0) for r in rows])
 
     at = {f: i for i, f in enumerate(names)}
-    groups = [x[:, [at[w + "$"] for w in words]].any(1) for words in LEXICON.values()]
-    voters = [*groups, *np.array([r["flags"] for r in rows]).reshape(len(rows), -1).T, *(x[:, at[f]] > 0 for f in chosen[:mined])]
-    votes = np.array(voters, dtype=float).T
-    votes = np.hstack([votes, -(votes.sum(1, keepdims=True) == 0).astype(float)])  # no voter spoke: one against
-    posterior, _ = label_model(votes, known)
+    says = lambda features: x[:, [at[f] for f in features]].any(1).astype(float)
+    fixed_voters = [says([w + "$" for w in words]) for words in LEXICON.values()]
+    patterns = np.array([r["flags"] for r in rows], dtype=float).reshape(len(rows), -1)
+    mine = [chosen[:mined][i * mined // lexicons : (i + 1) * mined // lexicons] for i in range(lexicons)]  # the surest together
+    votes = np.array([*fixed_voters, *patterns.T, *(says(part) for part in mine if part)]).T
+    silent = -(votes.sum(1, keepdims=True) == 0).astype(float)  # no voter spoke: one against
+    votes = np.hstack([votes, -says([w + "$" for w in COURTESY])[:, None], silent])
+    anchors = np.where([r["labelled"] for r in rows], known, np.nan)
+    posterior, _ = label_model(votes, anchors)
+    known_odds = np.where(np.isnan(anchors), 0, np.log(trust / (1 - trust)) * (2 * np.nan_to_num(anchors) - 1))
+    posterior = np.clip(posterior, 1e-9, 1 - 1e-9)
+    posterior = 1 / (1 + np.exp(-known_odds) * (1 - posterior) / posterior)
 
     w = logistic(x, posterior, l2)
     model = Model(names, w[:-1], float(w[-1]))

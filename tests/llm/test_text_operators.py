@@ -275,6 +275,31 @@ def test_toxicity_on_held_out_rows(spark, docs):
     assert {x["doc_id"]: x["predicted"] for x in plain} == {1: 1, 2: 0}
 
 
+def test_label_model_recovers_planted_voters():
+    """No label is given: accuracies, the prior and a copied voter are found from the votes alone."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(6000) < 0.3
+    accuracies = [0.9, 0.85, 0.8, 0.75, 0.7, 0.65]
+    votes = []
+    for accuracy in accuracies:
+        right = rng.random(6000) < accuracy
+        votes.append(np.where(rng.random(6000) < 0.8, np.where(right == truth, 1, -1), 0))
+    copied = np.where(rng.random(6000) < 0.95, votes[-1], 0)
+    posterior, found = toxicity.label_model(np.array([*votes, copied], dtype=float).T)
+    assert np.abs(found["accuracy"][:6] - accuracies).max() < 0.06 and abs(found["prior"] - 0.3) < 0.06
+    assert found["correlation"][5, 6] > 0.5 and found["weight"][6] < 0.75 and found["weight"][:4].min() > 0.9
+    assert ((posterior > 0.5) == truth).mean() > max(((np.array(v) > 0) == truth).mean() for v in votes)
+
+
+def test_toxicity_of_odd_rows(spark, docs):
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)] + [(None, 0, 1), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = [(i, "you stupid idiot zorb" if i % 2 else "a calm and fine day") for i in range(40)]
+    got = toxicity.classify(docs(*rows, *rows[:5], *ODD), labels).collect()
+    assert len(got) == 45 + len(ODD) and all(0 <= r["score"] <= 1 for r in got) and not any(r["held_out"] for r in got if r["doc_id"] is None)
+    assert len({(r["doc_id"], r["score"]) for r in got if r["doc_id"] in range(8, 40)}) == 32
+    assert toxicity.classify(docs((1, "a")).limit(0), labels).count() == 0
+
+
 def test_xxhash_seed_is_that_of_the_contract(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b"))).first()[0] & (1 << 64) - 1 == xxhash.xxh64_intdigest(b"a b", 42)
     assert re.fullmatch("[01]+", decontaminate.MASKS[0])
