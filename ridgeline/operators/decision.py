@@ -51,9 +51,40 @@ def request_problems(rows: DataFrame) -> DataFrame:
     return rows.withColumn("problems", F.array_compact(F.array(*[F.when(broken, F.lit(code)) for broken, code in rules])))
 
 
+#: Codes of failures that may pass, of missing coverage, and of wrong settings. All others reject the geometry.
+TRANSIENT = (
+    "COUNTY_FOOTPRINT_UNAVAILABLE", "EPT_CRS_MISSING", "EPT_METADATA_INVALID", "GEOMETRY_COMMAND_TIMEOUT", "LIDAR_CANDIDATES_TEMPORARILY_UNAVAILABLE", "LIDAR_SOURCES_TEMPORARILY_UNAVAILABLE",
+    "MICROSOFT_FOOTPRINT_CATALOG_INVALID", "MICROSOFT_FOOTPRINT_TILE_INVALID", "OPEN_DATA_COMMAND_TIMEOUT", "OSM_OVERPASS_UNAVAILABLE", "OVERTURE_CATALOG_INVALID", "OVERTURE_CATALOG_UNAVAILABLE",
+    "OVERTURE_RESPONSE_INVALID", "PROVIDER_HTTP_ERROR", "PROVIDER_JSON_INVALID", "PROVIDER_NETWORK_ERROR", "PROVIDER_RESPONSE_TOO_LARGE", "SOLAR_ROOF_MASK_HTTP_ERROR", "SOLAR_ROOF_MASK_UNAVAILABLE",
+)
+MISSING = (
+    "BUILDING_FOOTPRINT_NOT_FOUND", "MICROSOFT_FOOTPRINT_DISABLED", "MICROSOFT_FOOTPRINT_TILE_NOT_FOUND", "NO_LIDAR_COVERAGE", "OSM_FOOTPRINT_DISABLED", "OUTSIDE_SERVICE_AREA",
+    "PROVIDER_RESOURCE_NOT_FOUND", "SOLAR_ROOF_MASK_NOT_FOUND",
+)
+SETTINGS = (
+    "AUTH_TOKEN_MISSING", "CONCURRENCY_INVALID", "CONFIDENCE_THRESHOLD_INVALID", "CONFIG_DATE_INVALID", "CONFIG_NUMBER_INVALID", "COUNTY_BOUNDARIES_INVALID", "CURRENT_IMAGERY_AGE_INVALID",
+    "FOOTPRINT_COMPARISON_INVALID", "FOOTPRINT_CONSENSUS_INVALID", "FOOTPRINT_CORRELATION_INVALID", "FOOTPRINT_PROVIDER_URL_INVALID", "LIDAR_MINIMUM_DATE_INVALID", "MICROSOFT_BFP_CONFIG_INVALID",
+    "MICROSOFT_BFP_RELEASE_INVALID", "OSM_CACHE_INVALID", "OVERTURE_RELEASE_INVALID", "REGISTRY_ACCESS_INVALID", "REGISTRY_CLASS_INVALID", "REGISTRY_COUNTY_INVALID", "REGISTRY_DATE_INVALID",
+    "REGISTRY_DENSITY_INVALID", "REGISTRY_ENDPOINT_INVALID", "REGISTRY_ENDPOINT_MISSING", "REGISTRY_FIELD_INVALID", "REGISTRY_INVALID", "REGISTRY_MISSING", "REGISTRY_PATTERN_INVALID",
+    "REGISTRY_PATTERN_MISSING", "REGISTRY_PROVIDER_NOT_ALLOWED", "REGISTRY_SCHEMA_UNSUPPORTED", "REGISTRY_SOURCE_ID_INVALID", "REGISTRY_SOURCE_INVALID", "ROOFER_COMPLEXITY_FACTOR_INVALID",
+    "ROOFER_PLANE_EPSILON_INVALID", "ROOFPRINT_PERIMETER_THRESHOLD_INVALID", "ROOF_CLUSTER_CONFIG_INVALID", "ROOF_HAG_RANGE_INVALID", "SERVICE_BOUNDS_INVALID", "SOLAR_API_KEY_MISSING",
+    "SOLAR_ROOFPRINT_CONFIG_INVALID", "SOURCE_COMMIT_INVALID", "USGS_CATALOG_INVALID",
+)
+UNEXPECTED = "INTERNAL_GEOMETRY_ERROR"
+
+
 def envelope(rows: DataFrame) -> DataFrame:
-    """(request_id, code, ...) -> the error envelope: available, http_status, error_code, retryable."""
-    transient = F.col("code").isin("PROVIDER_TIMEOUT", "PROVIDER_UNAVAILABLE", "SOURCE_UNAVAILABLE")
-    missing = F.col("code").isin("BUILDING_FOOTPRINT_NOT_FOUND", "OUTSIDE_SERVICE_AREA", "NO_REGISTERED_CATALOG_COVERAGE")
-    status = F.when(F.col("code").isNull(), 200).when(transient, 503).when(missing, 404).otherwise(422)
-    return rows.withColumns({"available": F.col("code").isNull(), "http_status": status, "retryable": F.coalesce(transient, F.lit(False))})
+    """rows with a code (null: measured) + the error envelope.
+
+    available, verification_status, pricing_allowed (false and INSPECTION_REQUIRED for every error, else what the
+    row says itself, null here), status and error_code (the code), retryable, http_status: 503 for failures that
+    may pass (retryable) and for wrong settings (not), 404 for missing coverage, 500 for unexpected errors, 422 for
+    all other codes, 200 without one.
+    """
+    code, failed = F.col("code"), F.col("code").isNotNull()
+    transient = F.coalesce(code.isin(*TRANSIENT), F.lit(False))
+    status = F.when(~failed, 200).when(transient | code.isin(*SETTINGS), 503).when(code.isin(*MISSING), 404).when(code == UNEXPECTED, 500).otherwise(422)
+    return rows.withColumns({
+        "available": ~failed, "verification_status": F.when(failed, F.lit("INSPECTION_REQUIRED")), "pricing_allowed": F.when(failed, F.lit(False)),
+        "status": code, "error_code": code, "retryable": transient, "http_status": status,
+    })

@@ -26,7 +26,7 @@ def nearest_two(candidates: DataFrame, request: str, distance: str, area: str, p
 def ambiguity(first: Column, second: Column, inside: Column, covered_by_second: Column, t: Thresholds = DEFAULTS) -> Column:
     """Code for the nearest outline: none near enough, or a rival as near, unless the point is in the first alone."""
     rival = (second <= t.footprint_max_distance_m) & (F.abs(second - first) <= t.footprint_ambiguity_m) & ~(inside & ~covered_by_second)
-    return F.when(first.isNull() | (first > t.footprint_max_distance_m), F.lit("FOOTPRINT_TOO_FAR")).when(F.coalesce(rival, F.lit(False)), F.lit("FOOTPRINT_AMBIGUOUS"))
+    return F.when(first.isNull() | (first > t.footprint_max_distance_m), F.lit("BUILDING_FOOTPRINT_NOT_FOUND")).when(F.coalesce(rival, F.lit(False)), F.lit("BUILDING_FOOTPRINT_AMBIGUOUS"))
 
 
 def select_footprint(candidates: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -57,7 +57,7 @@ def consensus(primary: DataFrame, others: DataFrame, t: Thresholds = DEFAULTS) -
     rows = others.join(p, "request_id").where((F.col("rank") > F.col("primary_rank")) & ((F.col("primary_rank") != 0) | F.col("rank").isin(2, 3)))
     same = F.col("lineage") == F.col("primary_lineage")
     good = agreement(F.col("iou"), F.col("centroid_gap"), F.col("area_gap"), same, t)
-    step = F.when(~good, "FOOTPRINT_CONSENSUS_CONFLICT").when(~same, "CORROBORATED")
+    step = F.when(~good, "FOOTPRINT_PROVIDER_CONFLICT").when(~same, "CORROBORATED")
     found = rows.groupBy("request_id").agg(F.min_by(step, F.when(step.isNotNull(), F.col("rank"))).alias("decided"), F.bool_or(same & good).alias("support"))
     out = p.join(found, "request_id", "left")
     status = F.coalesce("decided", F.when(F.col("support"), "CORRELATED_SUPPORT_ONLY"), F.lit("SINGLE_SOURCE"))
@@ -74,11 +74,11 @@ def compare(a: Column, b: Column, intersection: Column) -> Column:
 def mask_gates(quality: Column, simplified_area: Column, area: Column, ground_area: Column, iou: Column, centroid_gap: Column, area_gap: Column, t: Thresholds = DEFAULTS) -> Column:
     """First code against a roof outline taken from a raster mask."""
     return (
-        F.when(F.upper(quality) != "HIGH", "SOLAR_MASK_QUALITY")
-        .when(percent_change(simplified_area, area) > 2, "SOLAR_MASK_SIMPLIFICATION")
+        F.when(F.upper(quality) != "HIGH", "SOLAR_ROOF_MASK_QUALITY_INSUFFICIENT")
+        .when(percent_change(simplified_area, area) > 2, "SOLAR_ROOF_MASK_SIMPLIFICATION_CONFLICT")
         .when(ground_area <= 0, "SOLAR_GROUND_AREA_MISSING")
-        .when(percent_change(simplified_area, ground_area) > t.mask_area_percent, "SOLAR_MASK_AREA_MISMATCH")
-        .when((iou < t.correlated_iou) | (centroid_gap > t.consensus_centroid_m) | (area_gap > t.review_area_percent), "SOLAR_MASK_BUILDING_MISMATCH")
+        .when(percent_change(simplified_area, ground_area) > t.mask_area_percent, "SOLAR_ROOF_MASK_AREA_CONFLICT")
+        .when((iou < t.correlated_iou) | (centroid_gap > t.consensus_centroid_m) | (area_gap > t.review_area_percent), "SOLAR_ROOF_MASK_BUILDING_CONFLICT")
     )
 
 

@@ -28,7 +28,7 @@ MIN_EDGE = 0.10
 def features(lines: DataFrame) -> DataFrame:
     """lines(building_id, value) -> one row per building with its only feature and transform, or a code.
 
-    A feature's own transform wins over the header's. Not exactly one feature: CITYJSON_FEATURE_COUNT.
+    A feature's own transform wins over the header's. Not exactly one feature: CITYJSON_FEATURE_COUNT_INVALID.
     """
     parsed = lines.select("building_id", F.from_json("value", FEATURE).alias("f"))
     feature = F.col("f.type") == "CityJSONFeature"
@@ -40,7 +40,7 @@ def features(lines: DataFrame) -> DataFrame:
     header = F.from_json("header", "struct<scale array<double>, translate array<double>>")
     transform = F.coalesce(F.col("f.transform"), header)
     bad = transform.isNotNull() & ((F.size(transform["scale"]) != 3) | (F.size(transform["translate"]) != 3))
-    code = first_code((F.col("n") != 1, "CITYJSON_FEATURE_COUNT"), (bad, "CITYJSON_TRANSFORM_INVALID"), (F.coalesce(F.size("f.vertices"), F.lit(0)) < 1, "CITYJSON_VERTICES_MISSING"))
+    code = first_code((F.col("n") != 1, "CITYJSON_FEATURE_COUNT_INVALID"), (bad, "CITYJSON_TRANSFORM_INVALID"), (F.coalesce(F.size("f.vertices"), F.lit(0)) < 1, "CITYJSON_VERTICES_MISSING"))
     return grouped.select("building_id", "f", transform.alias("transform"), code.alias("code"))
 
 
@@ -290,4 +290,4 @@ def measure(lines: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 def perimeter_gate(measured: DataFrame, outline_feet: str, t: Thresholds = DEFAULTS) -> DataFrame:
     """Adds perimeter_code: the plan perimeter of the edges must agree with that of the outline."""
     gap = F.abs(F.col("external_plan_perimeter_feet") - F.col(outline_feet)) / F.greatest(F.col(outline_feet), F.lit(0.01)) * 100
-    return measured.withColumn("perimeter_variance", F.round(gap, 2)).withColumn("perimeter_code", F.when(gap > t.perimeter_percent, F.lit("ROOFPRINT_PERIMETER_MISMATCH")))
+    return measured.withColumn("perimeter_variance", F.round(gap, 2)).withColumn("perimeter_code", F.when(gap > t.perimeter_percent, F.lit("ROOF_TOPOLOGY_PERIMETER_MISMATCH")))

@@ -65,7 +65,7 @@ def q04_candidate_ranking(spark, sf_dir):
 
 @query("""WITH c AS (SELECT o_custkey AS request_id, o_orderkey AS candidate_id, ((o_orderkey * 7) % 40) * 0.75e0 AS distance, (o_orderkey % 13) + 50.0e0 AS area, o_orderkey % 3 = 0 AS inside FROM orders),
 w AS (SELECT *, row_number() OVER v AS place, lead(distance) OVER v AS second_distance FROM c WINDOW v AS (PARTITION BY request_id ORDER BY distance, area, candidate_id))
-SELECT request_id, candidate_id, distance, CASE WHEN distance > 20 THEN 'FOOTPRINT_TOO_FAR' WHEN second_distance <= 20 AND abs(second_distance - distance) <= 2 AND NOT inside THEN 'FOOTPRINT_AMBIGUOUS' ELSE 'OK' END AS code FROM w WHERE place = 1""")
+SELECT request_id, candidate_id, distance, CASE WHEN distance > 20 THEN 'BUILDING_FOOTPRINT_NOT_FOUND' WHEN second_distance <= 20 AND abs(second_distance - distance) <= 2 AND NOT inside THEN 'BUILDING_FOOTPRINT_AMBIGUOUS' ELSE 'OK' END AS code FROM w WHERE place = 1""")
 def q05_nearest_two_ambiguity(spark, sf_dir):
     k = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("request_id"), k.alias("candidate_id"), (k * 7 % 40 * F.lit(0.75)).alias("distance"), (k % 13 + F.lit(50.0)).alias("area"), (k % 3 == 0).alias("inside"))
@@ -340,23 +340,23 @@ def q33_concave_overlay(spark, sf_dir):
     return rows.select("id", r("inter", 6).alias("inter"), r(footprints.compare(F.col("a"), F.col("b"), F.col("inter"))["iou"], 6).alias("iou"))
 
 
-GABLE_FACES = {"boundaries": [[[[0, 1, 2, 3]], [[3, 2, 4, 5]]]], "values": [[1, 1]]}
+def saltbox(front: float, back: float = 6.0, length: float = 11.0) -> str:
+    """One line of city-model text: a ridge 3 m up, a front slope down to the ground, a back slope that ends half a metre above it."""
+    corners = [(x, y, z) for x, z in ((0, 0), (front, 3), (front + back, 0.5)) for y in (0, length)]
+    slopes = [[[0, 2, 3, 1]], [[2, 4, 5, 3]]]
+    geometry = {"type": "MultiSurface", "lod": "2.2", "boundaries": slopes, "semantics": {"surfaces": [{"type": "WallSurface"}, {"type": "RoofSurface"}], "values": [1, 1]}}
+    quality = {"rf_success": True, "rf_extrusion_mode": "standard", "rf_pt_density": 22.5, "rf_nodata_frac": 0.03, "rf_rmse_lod22": 0.07}
+    objects = {"house": {"type": "Building", "attributes": quality}, "house-roof": {"type": "BuildingPart", "geometry": [geometry]}}
+    return json.dumps({"type": "CityJSONFeature", "id": "house", "vertices": [list(c) for c in corners], "CityObjects": objects})
 
 
-def gable(width: float, depth: float, height: float) -> str:
-    """A two-facet roof as one line of city-model text."""
-    v = [[0, 0, 0], [width, 0, 0], [width, depth / 2, height], [0, depth / 2, height], [width, depth, 0], [0, depth, 0]]
-    geometry = {"type": "Solid", "lod": "2.2", "boundaries": GABLE_FACES["boundaries"], "semantics": {"surfaces": [{"type": "GroundSurface"}, {"type": "RoofSurface"}], "values": GABLE_FACES["values"]}}
-    attributes = {"rf_success": True, "rf_pointcloud_unusable": False, "rf_extrusion_mode": "standard", "rf_pt_density": 15, "rf_nodata_frac": 0.01, "rf_rmse_lod22": 0.1}
-    return json.dumps({"type": "CityJSONFeature", "id": "b", "vertices": v, "CityObjects": {"b": {"type": "Building", "attributes": attributes}, "b-0": {"type": "BuildingPart", "geometry": [geometry]}}})
-
-
-@query(f"""SELECT CAST(c_custkey AS VARCHAR) AS building_id, 2 AS facets,
- round(2 * 10 * sqrt(pow(2 + (c_custkey % 4), 2) + 9) * {SQUARE_METRES_TO_SQUARE_FEET!r}, 2) AS roof_area, round(degrees(atan(3.0e0 / (2 + (c_custkey % 4)))), 2) AS pitch,
- round(10 * {METRES_TO_FEET!r}, 2) AS ridges, round(20 * {METRES_TO_FEET!r}, 2) AS eaves FROM customer""")
-def q34_cityjson_gable(spark, sf_dir):
-    """City-model text, one building a customer with one of four slopes, measured end to end."""
-    text = F.element_at(F.array(*[F.lit(gable(10, 2.0 * (2 + i), 3)) for i in range(4)]), (F.col("c_custkey") % 4 + 1).cast("int"))
+@query(f"""WITH s AS (SELECT CAST(c_custkey AS VARCHAR) AS building_id, 2.0e0 + (c_custkey % 4) AS f FROM customer),
+p AS (SELECT building_id, 11 * sqrt(f * f + 9) AS a1, 11 * sqrt(36 + 6.25e0) AS a2, degrees(atan(3 / f)) AS p1, degrees(atan(2.5e0 / 6)) AS p2 FROM s)
+SELECT building_id, 2 AS facets, round((a1 + a2) * {SQUARE_METRES_TO_SQUARE_FEET!r}, 2) AS roof_area, round((p1 * a1 + p2 * a2) / (a1 + a2), 2) AS pitch,
+ round(11 * {METRES_TO_FEET!r}, 2) AS ridges, round(2 * round(11 * {METRES_TO_FEET!r}, 2), 2) AS eaves FROM p""")
+def q34_cityjson_saltbox(spark, sf_dir):
+    """City-model text, one building a customer with one of four front slopes, measured end to end."""
+    text = F.element_at(F.array(*[F.lit(saltbox(2.0 + i)) for i in range(4)]), (F.col("c_custkey") % 4 + 1).cast("int"))
     lines = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("building_id"), text.alias("value"))
     m = roof.measure(lines)
     return m.select("building_id", F.col("facets").cast("int").alias("facets"), F.col("roof_area_sqft").alias("roof_area"), F.col("average_pitch").alias("pitch"), "ridges", "eaves")
@@ -391,7 +391,7 @@ def q36_box_join(spark, sf_dir):
 f AS (SELECT request_id, rank, lineage, iou, cg, ag FROM (SELECT *, row_number() OVER (PARTITION BY request_id, rank ORDER BY k) AS n FROM o) t WHERE n = 1),
 p AS (SELECT c_custkey AS request_id, CAST(c_custkey % 2 AS INTEGER) AS primary_rank FROM customer),
 s AS (SELECT p.request_id, f.rank, CASE WHEN lineage = 'MAP' THEN iou >= 0.65e0 AND ag <= 20 ELSE iou >= 0.7e0 AND cg <= 4 AND ag <= 16 END AS good, lineage = 'MAP' AS same FROM p JOIN f ON p.request_id = f.request_id AND f.rank > p.primary_rank AND (p.primary_rank <> 0 OR f.rank IN (2, 3))),
-d AS (SELECT *, CASE WHEN NOT good THEN 'FOOTPRINT_CONSENSUS_CONFLICT' WHEN NOT same THEN 'CORROBORATED' END AS step FROM s),
+d AS (SELECT *, CASE WHEN NOT good THEN 'FOOTPRINT_PROVIDER_CONFLICT' WHEN NOT same THEN 'CORROBORATED' END AS step FROM s),
 a AS (SELECT request_id, min(rank) FILTER (WHERE step IS NOT NULL) AS at, bool_or(same AND good) AS support FROM d GROUP BY request_id)
 SELECT p.request_id, p.primary_rank, coalesce(d.step, CASE WHEN a.support THEN 'CORRELATED_SUPPORT_ONLY' END, 'SINGLE_SOURCE') AS status FROM p LEFT JOIN a ON p.request_id = a.request_id LEFT JOIN d ON d.request_id = p.request_id AND d.rank = a.at""")
 def q37_footprint_consensus(spark, sf_dir):
@@ -412,4 +412,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q34_cityjson_gable(spark, sf_dir)
+    return q34_cityjson_saltbox(spark, sf_dir)

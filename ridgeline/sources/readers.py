@@ -39,7 +39,7 @@ def shell_of(geometry: Column) -> Column:
 def features(spark: SparkSession, path: str) -> DataFrame:
     """Whole GeoJSON files -> (file, pos, id, ring, properties, code); no features: no rows, bad JSON: one coded row."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", f"struct<type string, features array<{FEATURE}>>").alias("c"))
-    bad = raw.where("c.type IS NULL").select("file", F.lit(None).cast("int").alias("pos"), F.lit(None).cast(FEATURE).alias("f"), F.lit("PROVIDER_RESPONSE_INVALID").alias("code"))
+    bad = raw.where("c.type IS NULL").select("file", F.lit(None).cast("int").alias("pos"), F.lit(None).cast(FEATURE).alias("f"), F.lit("PROVIDER_JSON_INVALID").alias("code"))
     good = raw.where("c.type IS NOT NULL").select("file", F.posexplode("c.features").alias("pos", "f")).withColumn("code", F.lit(None).cast("string"))
     return good.unionByName(bad).select("file", "pos", identified("f").alias("id"), shell_of(F.col("f.geometry")).alias("ring"), F.col("f.properties").alias("properties"), "code")
 

@@ -87,7 +87,7 @@ def test_select_footprint(spark):
     ]
     df = spark.createDataFrame(rows, "request_id string, candidate_id int, px double, py double, ring array<struct<x:double,y:double>>")
     got = {r["request_id"]: (r["candidate_id"], r["code"]) for r in footprints.select_footprint(df).collect()}
-    assert got["in"] == (1, None) and got["rival"] == (1, "FOOTPRINT_AMBIGUOUS") and got["far"] == (1, "FOOTPRINT_TOO_FAR") and got["again"][1] is None
+    assert got["in"] == (1, None) and got["rival"] == (1, "BUILDING_FOOTPRINT_AMBIGUOUS") and got["far"] == (1, "BUILDING_FOOTPRINT_NOT_FOUND") and got["again"][1] is None
 
 
 def test_cascade(spark):

@@ -12,7 +12,7 @@ def test_features_and_tiles(spark, tmp_path):
     (tmp_path / "b.geojson").write_text("{broken")
     rows = readers.features(spark, str(tmp_path / "*.geojson")).orderBy("file", "pos").collect()
     assert [r["id"] for r in rows[:2]] == ["x", "y"] and rows[2]["id"].startswith("geometry-") and len(rows[0]["ring"]) == 4
-    assert rows[3]["code"] == "PROVIDER_RESPONSE_INVALID"
+    assert rows[3]["code"] == "PROVIDER_JSON_INVALID"
     with gzip.open(tmp_path / "t.csv.gz", "wt") as f:
         f.write(json.dumps({"geometry": SQUARE}) + "\n\n" + json.dumps({"features": [{"id": "q", "geometry": SQUARE}]}) + "\n")
     tile = readers.tile_lines(spark, str(tmp_path / "t.csv.gz"), "0123").orderBy("line").collect()
