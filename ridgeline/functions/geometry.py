@@ -107,7 +107,9 @@ def length_plan(a: Column, b: Column) -> Column:
 
 
 def signed_area(ring: Column) -> Column:
-    return cyclic(ring, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]) / 2
+    """Shoelace about the first vertex: far from the origin (degrees, grid metres) small areas keep their digits."""
+    o = F.get(ring, F.lit(0))
+    return cyclic(ring, lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])) / 2
 
 
 def ring_area(ring: Column) -> Column:

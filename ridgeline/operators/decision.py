@@ -37,14 +37,64 @@ def service_area(longitude: Column, latitude: Column, t: Thresholds = DEFAULTS)
 OUTPUTS = ("roofAreaSqFt", "averagePitchDegrees", "maximumPitchDegrees", "facets", "rakesFeet", "eavesFeet", "valleysFeet", "ridgesFeet", "hipsFeet", "flatRoofAreaSqFt")
 
 
+#: The request's fields as they arrive; unknown ones at the top are a problem, inside the roof type they may stand.
+REQUEST = (
+    "struct<schemaVersion string, requestId string, location struct<latitude double, longitude double>,"
+    " selectedRoofType struct<name string, family string, material string, flat boolean>,"
+    " solarReference struct<roofAreaSqFt double, averagePitchDegrees double, maximumPitchDegrees double, imageryDate string, imageryQuality string,"
+    " facets array<struct<planeId string, areaSqFt double, groundAreaSqFt double, pitchDegrees double, azimuthDegrees double>>>,"
+    " requiredOutputs array<string>>"
+)
+FIELDS = ("schemaVersion", "requestId", "location", "selectedRoofType", "solarReference", "requiredOutputs")
+
+
+def parse_requests(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Adds request (struct) and problems (codes in order of the fields) to lines of request JSON.
+
+    Text that is no object has the one problem JSON; a field that does not parse is null and so breaks its rule.
+    """
+    rows = lines.withColumn("request", F.from_json(value, REQUEST))
+    f = lambda name: F.col(f"request.{name}")
+    solar, kind = "solarReference", "selectedRoofType"
+    holds = lambda condition: ~F.coalesce(condition, F.lit(False))
+    text = lambda name, most: holds(F.length(f(name)).between(1, most))
+    angle = lambda c, most=90: c.between(0, most)
+    facet_bad = lambda x: ~F.coalesce((x["areaSqFt"] >= 0) & angle(x["pitchDegrees"]), F.lit(False)) | F.coalesce(x["groundAreaSqFt"] < 0, F.lit(False)) | F.coalesce(~angle(x["azimuthDegrees"], 360), F.lit(False))
+    day = f(solar + ".imageryDate")
+    rules = [
+        (F.size(F.array_except(F.json_object_keys(value), F.array(*map(F.lit, FIELDS)))) > 0, "UNKNOWN_FIELD"),
+        (holds(f("schemaVersion") == "1.0"), "SCHEMA_VERSION"),
+        (holds(f("requestId").rlike(REQUEST_ID)), "REQUEST_ID"),
+        (holds(f("location.latitude").between(-90, 90)), "LATITUDE"),
+        (holds(f("location.longitude").between(-180, 180)), "LONGITUDE"),
+        (text(kind + ".name", 80) | text(kind + ".family", 40) | text(kind + ".material", 80) | f(kind + ".flat").isNull(), "ROOF_TYPE"),
+        (holds(f(solar + ".roofAreaSqFt") > 0), "REFERENCE_AREA"),
+        (holds(angle(f(solar + ".averagePitchDegrees")) & angle(f(solar + ".maximumPitchDegrees"))), "REFERENCE_PITCH"),
+        (F.coalesce((day != "") & ~day.rlike(r"^20\d{2}-\d{2}-\d{2}$"), F.lit(False)), "IMAGERY_DATE"),
+        (F.coalesce(F.length(f(solar + ".imageryQuality")) > 20, F.lit(False)), "IMAGERY_QUALITY"),
+        (holds(F.size(f(solar + ".facets")).between(1, 200)), "REFERENCE_FACETS"),
+        (F.coalesce(F.exists(f(solar + ".facets"), facet_bad), F.lit(False)), "REFERENCE_FACET"),
+        (holds(F.size(f("requiredOutputs")).between(1, 30)) | missing_outputs(f("requiredOutputs")), "REQUIRED_OUTPUTS"),
+    ]
+    found = F.array_compact(F.array(*[F.when(broken, F.lit(code)) for broken, code in rules]))
+    return rows.withColumn("problems", F.when(F.json_object_keys(value).isNull(), F.array(F.lit("JSON"))).otherwise(found))
+
+
+REQUEST_ID = "^[A-Za-z0-9_-]{6,100}$"
+
+
+def missing_outputs(outputs: Column) -> Column:
+    return F.size(F.array_except(F.array(*map(F.lit, OUTPUTS)), F.coalesce(outputs, F.array().cast("array<string>")))) > 0
+
+
 def request_problems(rows: DataFrame) -> DataFrame:
     """requests(request_id, schema_version, longitude, latitude, outputs, reference_area, reference_facets) + problems."""
     rules = [
         (~F.coalesce(F.col("schema_version") == "1.0", F.lit(False)), "SCHEMA_VERSION"),
-        (~F.coalesce(F.col("request_id").rlike("^[A-Za-z0-9_-]{6,100}$"), F.lit(False)), "REQUEST_ID"),
+        (~F.coalesce(F.col("request_id").rlike(REQUEST_ID), F.lit(False)), "REQUEST_ID"),
         (~F.coalesce(F.col("longitude").between(-180, 180), F.lit(False)), "LONGITUDE"),
         (~F.coalesce(F.col("latitude").between(-90, 90), F.lit(False)), "LATITUDE"),
-        (F.size(F.array_except(F.array(*map(F.lit, OUTPUTS)), F.coalesce(F.col("outputs"), F.array().cast("array<string>")))) > 0, "REQUIRED_OUTPUTS"),
+        (missing_outputs(F.col("outputs")), "REQUIRED_OUTPUTS"),
         (~F.coalesce(F.col("reference_area") > 0, F.lit(False)), "REFERENCE_AREA"),
         (~F.coalesce(F.col("reference_facets").between(1, 200), F.lit(False)), "REFERENCE_FACETS"),
     ]

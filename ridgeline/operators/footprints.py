@@ -10,10 +10,11 @@ from ..functions import geometry as G
 from ..functions.scalars import percent_change
 
 
-def usable(candidates: DataFrame, ring: str = "ring") -> DataFrame:
-    """Valid, non-empty outlines, equal ones of a request once (drawn from another vertex or way round too)."""
-    good = candidates.where(G.simple_ring(F.col(ring)))
-    return good.withColumn("__same", F.xxhash64(G.normal_ring(F.col(ring)))).dropDuplicates(["request_id", "__same"]).drop("__same")
+def usable(candidates: DataFrame, ring: str = "ring", position: str = "candidate_id") -> DataFrame:
+    """Valid, non-empty outlines, equal ones of a request once (drawn from another vertex or way round too): the first by position."""
+    good = candidates.where(G.simple_ring(F.col(ring))).withColumn("__same", G.normal_ring(F.col(ring)))
+    first = F.row_number().over(Window.partitionBy("request_id", "__same").orderBy(position))
+    return good.withColumn("__n", first).where("__n = 1").drop("__same", "__n")
 
 
 def nearest_two(candidates: DataFrame, request: str, distance: str, area: str, position: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import DEFAULTS, Thresholds
-from ..functions.scalars import single
+from ..functions.scalars import first_code, single
 
 GROUND, BUILDING, NOISE = 2, 6, 7
 
@@ -50,6 +50,28 @@ def density(points: DataFrame, key: str, area: str, minimum: Column, cls: str =
     return found.select(key, "n", d.alias("density"), code.alias("code"))
 
 
+def crop_gate(points: DataFrame, key: str, roof_classes: list[int], t: Thresholds = DEFAULTS) -> DataFrame:
+    """(key, total, roof, code): what a crop's class counts say, before classes are rewritten."""
+    found = points.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("cls").isin(*roof_classes)).alias("roof"))
+    return found.withColumn("code", crop_code(F.col("total"), F.col("roof")))
+
+
+def crop_code(total: Column, roof: Column) -> Column:
+    """Code of a crop by its counts: none at all, or none in a roof class."""
+    return first_code((F.coalesce(total, F.lit(0)) <= 0, "LIDAR_CROP_EMPTY"), (F.coalesce(roof, F.lit(0)) <= 0, "NO_USABLE_ROOF_RETURNS"))
+
+
+def date_floor(day: Column, t: Thresholds = DEFAULTS) -> Column:
+    """Code of an exact date before the floor; without a date nothing is said here."""
+    return F.when(day < F.lit(t.min_acquisition), F.lit("LIDAR_TILE_BEFORE_MINIMUM_ACQUISITION_DATE"))
+
+
+def time_stats(points: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, n, minimum, maximum, average) of a column, as a point file's statistics."""
+    c = F.col(column)
+    return points.groupBy(key).agg(F.count(c).alias("n"), F.min(c).alias("minimum"), F.max(c).alias("maximum"), F.avg(c).alias("average"))
+
+
 def only_date(days: DataFrame, key: str, day: str, low: str, high: str) -> DataFrame:
     """(key, day): the one distinct date inside the registered window, null if there are none or several."""
     inside = F.when(F.col(day).between(F.col(low), F.col(high)), F.col(day))
@@ -89,11 +111,17 @@ def knn(group: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.nda
     return np.concatenate(distances), np.concatenate(places)
 
 
-def outliers(points: DataFrame, key: str, k: int = 12, multiplier: float = 2.2) -> DataFrame:
+def outliers(points: DataFrame, key: str, k: int = 12, multiplier: float = 2.2, classes: tuple[int, ...] | None = None) -> DataFrame:
     """(key, pid, mean_distance, outlier): mean distance to the k nearest beyond mean + multiplier * deviation.
 
-    Per group (a building's crop); groups of fewer than two points have no outliers.
+    Per group (a building's crop); groups of fewer than two points have no outliers. With ``classes`` only
+    returns of these (production: 1 and 6) are judged, among themselves; the others come back with no distance
+    and as no outliers.
     """
+    if classes is not None:
+        mine = F.coalesce(F.col("cls").isin(*classes), F.lit(False))
+        rest = points.where(~mine).select(key, "pid", F.lit(None).cast("double").alias("mean_distance"), F.lit(False).alias("outlier"))
+        return outliers(points.where(mine), key, k, multiplier).unionByName(rest)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) < 2:
@@ -179,13 +207,3 @@ def normals(points: DataFrame, key: str, k: int = 12) -> DataFrame:
 def quantised(column: Column, scale: float = 0.01) -> Column:
     """Coordinate on the grid of a scaled-integer point file."""
     return F.round(column / scale) * scale
-
-
-def kth_nearest(points: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, pid, mean_distance) of the k nearest inside small groups, as a self-join and a window."""
-    far = points.select(key, F.col("pid").alias("other"), *[F.col(c).alias("o" + c) for c in "xyz"])
-    d = F.sqrt(sum(((F.col(c) - F.col("o" + c)) ** 2 for c in "yz"), (F.col("x") - F.col("ox")) ** 2))
-    pairs = points.join(far, key).where("pid <> other").withColumn("d", d)
-    place = F.row_number().over(Window.partitionBy(key, "pid").orderBy("d", "other"))
-    near = pairs.withColumn("place", place).where(F.col("place") <= k)
-    return near.groupBy(key, "pid").agg(F.avg("d").alias("mean_distance"))

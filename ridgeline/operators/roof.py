@@ -232,23 +232,24 @@ def numbered(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind").isin(*KINDS)).withColumn("edge_id", F.concat(prefix[F.col("kind")], n))
 
 
-def totals(buildings: DataFrame, found: DataFrame, classified: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """One row per building: areas, pitches, lengths by kind (sums of rounded lengths), and the first code.
-
-    Facet codes come before quality codes, these before edge codes.
-    """
+def facet_totals(found: DataFrame, t: Thresholds = DEFAULTS, digits: int = 2) -> DataFrame:
+    """Facets (as of facets()) -> one row per building: count, areas in square feet, pitches, openings, first facet code."""
     ft2 = SQUARE_METRES_TO_SQUARE_FEET
-    roof = found.groupBy(F.col("building_id").cast("string").alias("building_id")).agg(
+    return found.groupBy(F.col("building_id").cast("string").alias("building_id")).agg(
         F.min_by("code", F.when(F.col("code").isNotNull(), F.col("pos"))).alias("facet_code"),
         F.count(F.lit(1)).alias("facets"),
         F.round(F.sum("area") * ft2, 2).alias("roof_area_sqft"),
         F.round(F.sum("plan_area") * ft2, 2).alias("plan_area_sqft"),
-        F.round(F.sum(F.col("pitch") * F.col("area")) / F.sum("area"), 2).alias("average_pitch"),
-        F.round(F.max("pitch"), 2).alias("maximum_pitch"),
+        F.round(F.sum(F.col("pitch") * F.col("area")) / F.sum("area"), digits).alias("average_pitch"),
+        F.round(F.max("pitch"), digits).alias("maximum_pitch"),
         F.round(F.coalesce(F.sum(F.when(F.col("pitch") <= t.flat_pitch_degrees, F.col("area"))), F.lit(0.0)) * ft2, 2).alias("flat_area_sqft"),
         F.sum("openings").alias("openings"),
         F.round(F.sum("opening_perimeter") * METRES_TO_FEET, 2).alias("opening_perimeter_feet"),
     )
+
+
+def edge_totals(classified: DataFrame) -> DataFrame:
+    """Edges (as of edges()) -> one row per building: feet by kind, in space and in plan, derived totals, counts."""
     of = lambda column, kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(column))), F.lit(0.0)), 2)
     lines = classified.groupBy("building_id").agg(
         *[of("length_feet", k).alias(k) for k in KINDS],
@@ -259,6 +260,19 @@ def totals(buildings: DataFrame, found: DataFrame, classified: DataFrame, t: Thr
         F.bool_or(F.col("kind") == "nonManifold").alias("non_manifold"),
         F.bool_or(F.col("kind") == "ambiguous").alias("ambiguous"),
     )
+    return lines.withColumns({
+        "external_perimeter_feet": F.round(F.col("eaves") + F.col("rakes"), 2),
+        "external_plan_perimeter_feet": F.round(F.col("plan_eaves") + F.col("plan_rakes") + F.col("plan_highPerimeters"), 2),
+        "internal_edge_feet": F.round(F.col("ridges") + F.col("hips") + F.col("valleys"), 2),
+    })
+
+
+def totals(buildings: DataFrame, found: DataFrame, classified: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """One row per building: areas, pitches, lengths by kind (sums of rounded lengths), and the first code.
+
+    Facet codes come before quality codes, these before edge codes.
+    """
+    roof, lines = facet_totals(found, t), edge_totals(classified)
     graded = quality(buildings, t).select(F.col("building_id").cast("string").alias("building_id"), F.col("code").alias("quality_code"), "confidence")
     named = buildings.select(F.col("building_id").cast("string").alias("building_id"), F.col("code").alias("feature_code"))
     out = named.join(roof, "building_id", "left").join(lines, "building_id", "left").join(graded, "building_id", "left")
@@ -270,13 +284,9 @@ def totals(buildings: DataFrame, found: DataFrame, classified: DataFrame, t: Thr
         F.when(F.col("non_manifold"), F.lit("NON_MANIFOLD_ROOF_EDGE")),
         F.when(F.col("ambiguous"), F.lit("ROOF_EDGE_CLASSIFICATION_INCOMPLETE")),
     )
-    plan = F.round(F.col("plan_eaves") + F.col("plan_rakes") + F.col("plan_highPerimeters"), 2)
     return out.select(
         "building_id", code.alias("code"), F.round("confidence", 3).alias("confidence"), "facets", "roof_area_sqft", "plan_area_sqft", "average_pitch", "maximum_pitch", "flat_area_sqft", "openings", "opening_perimeter_feet", *KINDS,
-        F.round(F.col("eaves") + F.col("rakes"), 2).alias("external_perimeter_feet"),
-        plan.alias("external_plan_perimeter_feet"),
-        F.round(F.col("ridges") + F.col("hips") + F.col("valleys"), 2).alias("internal_edge_feet"),
-        "noded_edges", "shared_edges", "exterior_edges",
+        "external_perimeter_feet", "external_plan_perimeter_feet", "internal_edge_feet", "noded_edges", "shared_edges", "exterior_edges",
     )
 
 
@@ -288,6 +298,9 @@ def measure(lines: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
 
 
 def perimeter_gate(measured: DataFrame, outline_feet: str, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Adds perimeter_code: the plan perimeter of the edges must agree with that of the outline."""
-    gap = F.abs(F.col("external_plan_perimeter_feet") - F.col(outline_feet)) / F.greatest(F.col(outline_feet), F.lit(0.01)) * 100
-    return measured.withColumn("perimeter_variance", F.round(gap, 2)).withColumn("perimeter_code", F.when(gap > t.perimeter_percent, F.lit("ROOF_TOPOLOGY_PERIMETER_MISMATCH")))
+    """Adds perimeter_code: the plan perimeter of the edges must be there and agree with that of the outline."""
+    plan, outline = F.col("external_plan_perimeter_feet"), F.col(outline_feet)
+    gap = F.abs(plan - outline) / F.greatest(outline, F.lit(0.01)) * 100
+    known = F.coalesce((plan > 0) & (outline > 0), F.lit(False))
+    code = first_code((~known, "ROOF_TOPOLOGY_PERIMETER_MISSING"), (gap > t.perimeter_percent, "ROOF_TOPOLOGY_PERIMETER_MISMATCH"))
+    return measured.withColumn("perimeter_variance", F.round(gap, 2)).withColumn("perimeter_code", code)

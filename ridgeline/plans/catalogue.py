@@ -12,31 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..conf import DEFAULTS, METRES_TO_FEET, SQUARE_METRES_TO_SQUARE_FEET
+from ..conf import DEFAULTS, METRES_TO_FEET, SQUARE_METRES_TO_SQUARE_FEET, Thresholds
 from ..functions import geometry as G
 from ..functions import overlay, projection, scalars
 from ..operators import calibration, cascade, decision, evidence, footprints, lidar, planes, points, pricing, roof
 from . import roles
+from .registry import ORACLES, QUERIES, query, r
 from .roles import table, with_views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def r(column, digits: int = 4):
-    return F.round(column, digits)
-
-
 @query(with_views("pts") + "SELECT b, cls, count(*) AS n FROM pts GROUP BY b, cls")
 def q01_class_histogram(spark, sf_dir):
     return points.class_histogram(roles.points(spark, sf_dir), "b")
@@ -125,10 +108,12 @@ def q11_edge_classification(spark, sf_dir):
  round(coalesce(sum(area) FILTER (WHERE pitch <= 5.03e0), 0) * {SQUARE_METRES_TO_SQUARE_FEET!r}, 2) AS flat_area FROM facet GROUP BY b""")
 def q12_weighted_pitch_rollup(spark, sf_dir):
     rows = roles.triangles(spark, sf_dir).withColumn("v", G.newell(F.col("ring")))
-    rows = rows.select("b", (G.norm(F.col("v")) / 2).alias("area"), G.pitch_degrees(G.upward(F.col("v"))).alias("pitch"))
-    ft2 = SQUARE_METRES_TO_SQUARE_FEET
-    flat = F.coalesce(F.sum(F.when(F.col("pitch") <= 5.03, F.col("area"))), F.lit(0.0))
-    return rows.groupBy("b").agg(r(F.sum("area") * ft2, 2).alias("roof_area"), r(F.sum(F.col("pitch") * F.col("area")) / F.sum("area")).alias("average_pitch"), r(F.max("pitch")).alias("maximum_pitch"), r(flat * ft2, 2).alias("flat_area"))
+    found = rows.select(
+        F.col("b").alias("building_id"), F.col("id").alias("pos"), (G.norm(F.col("v")) / 2).alias("area"), G.ring_area(F.col("ring")).alias("plan_area"), G.pitch_degrees(G.upward(F.col("v"))).alias("pitch"),
+        F.lit(None).cast("string").alias("code"), F.lit(0).alias("openings"), F.lit(0.0).alias("opening_perimeter"),
+    )
+    out = roof.facet_totals(found, Thresholds(flat_pitch_degrees=5.03), digits=4)
+    return out.select(F.col("building_id").cast("bigint").alias("b"), F.col("roof_area_sqft").alias("roof_area"), "average_pitch", "maximum_pitch", F.col("flat_area_sqft").alias("flat_area"))
 
 
 @query("""WITH e AS (SELECT l_partkey AS b, l_linenumber % 6 AS kind, round(CAST(l_quantity AS DOUBLE) * 3.280839895013123e0, 2) AS feet FROM lineitem),
@@ -136,11 +121,11 @@ t AS (SELECT b, round(coalesce(sum(feet) FILTER (WHERE kind = 0), 0), 2) AS rake
  round(coalesce(sum(feet) FILTER (WHERE kind = 3), 0), 2) AS ridges, round(coalesce(sum(feet) FILTER (WHERE kind = 4), 0), 2) AS hips, round(coalesce(sum(feet) FILTER (WHERE kind = 5), 0), 2) AS high_perimeters FROM e GROUP BY b)
 SELECT *, round(eaves + rakes, 2) AS external_feet, round(ridges + hips + valleys, 2) AS internal_feet FROM t""")
 def q13_edge_totals_pivot(spark, sf_dir):
-    names = ["rakes", "eaves", "valleys", "ridges", "hips", "high_perimeters"]
     feet = r(F.col("l_quantity").cast("double") * METRES_TO_FEET, 2)
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("b"), (F.col("l_linenumber") % 6).alias("kind"), feet.alias("feet"))
-    wide = rows.groupBy("b").agg(*[r(F.coalesce(F.sum(F.when(F.col("kind") == i, F.col("feet"))), F.lit(0.0)), 2).alias(n) for i, n in enumerate(names)])
-    return wide.withColumns({"external_feet": r(F.col("eaves") + F.col("rakes"), 2), "internal_feet": r(F.col("ridges") + F.col("hips") + F.col("valleys"), 2)})
+    kind = F.element_at(F.array(*map(F.lit, roof.KINDS)), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("building_id"), kind.alias("kind"), feet.alias("length_feet"), feet.alias("plan_feet"), F.lit(1).alias("n_uses"))
+    out = roof.edge_totals(rows)
+    return out.select(F.col("building_id").alias("b"), "rakes", "eaves", "valleys", "ridges", "hips", F.col("highPerimeters").alias("high_perimeters"), F.col("external_perimeter_feet").alias("external_feet"), F.col("internal_edge_feet").alias("internal_feet"))
 
 
 @query(with_views("plane") + """, f AS (SELECT unnest([0, 1, 2]) AS facet), d AS (SELECT p.g, p.pid, f.facet, abs((p.x - 0.05e0 * f.facet) * CASE WHEN f.facet = 0 THEN 1.0e0 ELSE 0.0e0 END + (p.y - 0.02e0 * f.facet) * CASE WHEN f.facet = 1 THEN 1.0e0 ELSE 0.0e0 END + p.z * CASE WHEN f.facet = 2 THEN 1.0e0 ELSE 0.0e0 END) AS d FROM plane p CROSS JOIN f),
@@ -403,6 +388,9 @@ def q37_footprint_consensus(spark, sf_dir):
     return footprints.consensus(primary, rows)
 
 
+from . import decisions  # noqa: E402, F401  registers its queries after those above
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
