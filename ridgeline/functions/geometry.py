@@ -107,9 +107,8 @@ def length_plan(a: Column, b: Column) -> Column:
 
 
 def signed_area(ring: Column) -> Column:
-    """Shoelace about the first vertex: far from the origin (degrees, grid metres) small areas keep their digits."""
-    o = F.get(ring, F.lit(0))
-    return cyclic(ring, lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])) / 2
+    """By trapezoids: only differences are multiplied by the place, so small areas far from the origin keep their digits."""
+    return cyclic(ring, lambda a, b: (a["x"] + b["x"]) * (b["y"] - a["y"])) / 2
 
 
 def ring_area(ring: Column) -> Column:

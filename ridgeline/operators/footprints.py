@@ -30,12 +30,30 @@ def ambiguity(first: Column, second: Column, inside: Column, covered_by_second:
     return F.when(first.isNull() | (first > t.footprint_max_distance_m), F.lit("BUILDING_FOOTPRINT_NOT_FOUND")).when(F.coalesce(rival, F.lit(False)), F.lit("BUILDING_FOOTPRINT_AMBIGUOUS"))
 
 
+def prepared(outlines: DataFrame) -> DataFrame:
+    """outlines(candidate_id, ring) -> the valid ones, equal ones once (the least id), with their area.
+
+    Validity and equality do not depend on the request, so they are settled here, before outlines meet requests.
+    """
+    good = outlines.where(G.simple_ring(F.col("ring"))).withColumn("__same", G.normal_ring(F.col("ring")))
+    return good.groupBy("__same").agg(F.min_by(F.struct("candidate_id", "ring"), "candidate_id").alias("o")).select("o.*").withColumn("area", G.ring_area(F.col("ring")))
+
+
 def select_footprint(candidates: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """candidates(request_id, candidate_id, px, py, ring; metres) -> the chosen one per request, and its code."""
+    return select_prepared(usable(candidates).withColumn("area", G.ring_area(F.col("ring"))), t)
+
+
+def select_prepared(candidates: DataFrame, t: Thresholds = DEFAULTS, tolerance: float = 1e-9) -> DataFrame:
+    """As select_footprint, for candidates of prepared() outlines: each ring is walked twice a pair, and only the
+    two nearest of a request are shuffled."""
     px, py, ring = F.col("px"), F.col("py"), F.col("ring")
-    rows = usable(candidates).withColumns({"distance": G.distance_to_polygon(px, py, ring), "area": G.ring_area(ring), "inside": G.contains(px, py, ring), "covered": G.covers(px, py, ring)})
+    rows = candidates.withColumns({"edge": G.boundary_distance(px, py, ring), "within": G.inside_even_odd(px, py, ring)})
+    on = F.col("edge") <= tolerance
+    rows = rows.withColumns({"distance": F.when(F.col("within") | on, F.lit(0.0)).otherwise(F.col("edge")), "inside": F.col("within") & ~on, "covered": F.col("within") | on})
     order = Window.partitionBy("request_id").orderBy("distance", "area", "candidate_id")
-    rows = rows.withColumns({"place": F.row_number().over(order), "second": F.lead("distance").over(order), "second_covers": F.lead("covered").over(order)})
+    rows = rows.withColumn("place", F.row_number().over(order)).where("place <= 2")
+    rows = rows.withColumns({"second": F.lead("distance").over(order), "second_covers": F.lead("covered").over(order)})
     code = ambiguity(F.col("distance"), F.col("second"), F.col("inside"), F.coalesce("second_covers", F.lit(False)), t)
     return rows.where("place = 1").select("request_id", "candidate_id", "ring", "distance", code.alias("code"))
 

@@ -12,7 +12,7 @@ from ..conf import DEFAULTS, Thresholds
 from ..functions import geometry as G
 from ..functions import overlay
 from ..functions.scalars import county_name
-from .footprints import within_boxes
+from .footprints import prepared, within_boxes
 from .pricing import COUNTIES
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -41,14 +41,14 @@ def box_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
 
 
 def footprint_candidates(requests: DataFrame, outlines: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """requests(request_id, px, py), outlines(candidate_id, ring), all in metres -> pairs for select_footprint.
+    """requests(request_id, px, py), outlines(candidate_id, ring), all in metres -> pairs for select_prepared.
 
     An outline is a candidate where its box meets the box a search radius around the point.
     """
     r = t.footprint_radius_m
     px, py = F.col("px"), F.col("py")
     search = requests.select("request_id", "px", "py", (px - r).alias("x0"), (py - r).alias("y0"), (px + r).alias("x1"), (py + r).alias("y1"))
-    return box_pairs(search, boxed(outlines.select("candidate_id", "ring")), 2 * r).drop(*BOX)
+    return box_pairs(search, boxed(prepared(outlines)), 2 * r).drop(*BOX)
 
 
 def with_tile(requests: DataFrame, tiles: DataFrame) -> DataFrame:

@@ -12,16 +12,19 @@ from ..operators import cascade, decision, evidence, footprints, lidar, matching
 
 def outlines(requests: DataFrame, candidates: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """Requests with the service-area gate and their chosen outline."""
-    gated = requests.withColumn("area_code", decision.service_area(F.col("lon"), F.col("lat"), t))
-    chosen = footprints.select_footprint(candidates, t).withColumnRenamed("code", "footprint_code")
-    joined = gated.join(chosen, "request_id", "left")
+    return gated(requests, footprints.select_footprint(candidates, t), t)
+
+
+def gated(requests: DataFrame, chosen: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    rows = requests.withColumn("area_code", decision.service_area(F.col("lon"), F.col("lat"), t))
+    joined = rows.join(chosen.withColumnRenamed("code", "footprint_code"), "request_id", "left")
     missing = F.when(F.col("candidate_id").isNull(), F.lit("BUILDING_FOOTPRINT_NOT_FOUND"))
     return joined.withColumn("code", F.coalesce("area_code", "footprint_code", missing))
 
 
 def located(requests: DataFrame, outlines_m: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """requests(request_id, lon, lat, px, py) and all outlines(candidate_id, ring; metres) -> outlines() of both."""
-    return outlines(requests, matching.footprint_candidates(requests, outlines_m, t), t)
+    """requests(request_id, lon, lat, px, py) and all outlines(candidate_id, ring; metres) -> as outlines()."""
+    return gated(requests, footprints.select_prepared(matching.footprint_candidates(requests, outlines_m, t), t), t)
 
 
 def waves(requests: DataFrame, sources: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
