@@ -6,8 +6,9 @@ computed once: on a byte that the trie cannot follow, the count grows by the pop
 at the link, so a word costs time linear in its length and no piece is ever built.
 
 The vocabulary is a byte-level one: entries that begin with the space mark start a word, others continue
-it. Every byte is an entry in itself, so each word has pieces. Words are runs of letters, digits and
-underscores, and other visible characters one by one.
+it. Every byte is an entry in itself, so each word has pieces; a word that another vocabulary cannot split is
+one unknown piece. Words are runs of letters, digits and underscores, and other visible characters one
+by one.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .common import text_or_empty
 
 WORD = re.compile(r"\w+|[^\w\s]")
 CACHE_ENTRIES = 500_000
+CACHE_CHARACTERS = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -99,15 +101,20 @@ class Automaton:
 
 
 class Counter(dict):
-    """word -> pieces, kept for the words seen last."""
+    """word -> pieces, kept for the words seen last; words over CACHE_CHARACTERS are counted each time.
+
+    A word that the vocabulary cannot split (none with a byte-level one) is one piece, unknown.
+    """
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        n = self[word] = self.automaton.count(b" " + word.encode("utf-8"))
+        n = abs(self.automaton.count(b" " + word.encode("utf-8")))
+        if len(word) <= CACHE_CHARACTERS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[word] = n
         return n
 
 

@@ -58,6 +58,33 @@ def test_plan_uses_every_piece_once():
     assert sequences <= -(-total // 2048) + 4
 
 
+
+def test_counts_equal_greedy_matching_of_the_registered_vocabulary(spark):
+    """Every word of the documents against the plain longest match, the vocabulary as a set of byte strings."""
+    known = set(wordpiece.vocabulary("byte_bpe_50k.json"))
+    most = max(map(len, known))
+
+    def greedy(word):
+        rest, n = b" " + word.encode(), 0
+        while rest:
+            rest, n = next(rest[k:] for k in range(min(most, len(rest)), 0, -1) if rest[:k] in known), n + 1
+        return n
+
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: wordpiece.WORD.findall(r["text"] or "") for r in source.collect()}
+    pieces = {w: greedy(w) for words in texts.values() for w in words}
+    got = {r["doc_id"]: r for r in wordpiece.count_tokens(source).collect()}
+    assert set(got) == set(texts) and len(pieces) > 1000
+    for i, words in texts.items():
+        assert (got[i]["n_words"], got[i]["n_pieces"], got[i]["longest"]) == (len(words), sum(pieces[w] for w in words), max((pieces[w] for w in words), default=0))
+
+
+def test_words_beyond_a_vocabulary_and_beyond_the_cache():
+    pieces = wordpiece.Counter(wordpiece.Automaton([b" ", b" a", b"a", b"ab"]))
+    assert [pieces[w] for w in ("a", "aab", "q", "aq")] == [1, 2, 1, 1]
+    assert pieces["a" * 10_000] == 10_000 and set(pieces) == {"a", "aab", "q", "aq"}
+
+
 def test_word_pieces(spark, docs):
     counter = wordpiece.Automaton([b"a", b"ab", b"abc", b"bcd", b"b", b"c", b"d", b"cdx"])
     entries = {b"a", b"ab", b"abc", b"bcd", b"b", b"c", b"d", b"cdx"}
