@@ -35,12 +35,18 @@ def waves(requests: DataFrame, sources: DataFrame, t: Thresholds = DEFAULTS) ->
 def selections(requests: DataFrame, sources: DataFrame) -> DataFrame:
     """(request_id, candidates, first_source, code): how many sources pass, the first of them, and why none does.
 
-    A refusal may pass with time where a source of the county could not be asked (coverage null).
+    A refusal may pass with time where a source of the county could not be asked (coverage null). A source of another
+    county is neither a candidate nor a reason, so the registry is summed up by county, and requests join a row each;
+    a request with several counties gets the sum of theirs. As in the audit, without any source there is no row.
     """
-    audit = lidar.decide(requests, sources)
+    judged = lidar.decision(F.col("enabled"), F.lit(True), F.col("license"), F.col("acquired_end"), F.col("coverage"))
+    rows = sources.withColumn("decision", judged).where("county IS NOT NULL")
     good = F.col("decision") == "CANDIDATE"
-    order = F.struct("acquired_end", "coverage", "density", "priority", -F.col("source_id"))
-    found = audit.groupBy("request_id").agg(F.count_if(good).alias("candidates"), F.max_by("source_id", F.when(good, order)).alias("first_source"), F.bool_or(F.col("decision") == "SOURCE_UNAVAILABLE").alias("retry"))
+    order = F.struct("acquired_end", "coverage", "density", "priority", -F.col("source_id"), "source_id")
+    by_county = rows.groupBy("county").agg(F.count_if(good).alias("n"), F.max(F.when(good, order)).alias("best"), F.bool_or(F.col("decision") == "SOURCE_UNAVAILABLE").alias("away"))
+    asked = requests.select("request_id", "county").crossJoin(F.broadcast(sources.limit(1).select(F.lit(1).alias("__any")))).drop("__any")
+    found = asked.join(by_county, "county", "left").groupBy("request_id")
+    found = found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"), F.max("best")["source_id"].alias("first_source"), F.coalesce(F.bool_or("away"), F.lit(False)).alias("retry"))
     return found.select("request_id", "candidates", "first_source", lidar.selection_code(F.col("candidates") > 0, F.col("retry")).alias("code"))
 
 

@@ -5,6 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ridgeline.operators import lidar
+from ridgeline.plans import measurement
 
 
 def most_rows(df):
@@ -40,3 +41,13 @@ def test_audit_is_spread_whatever_the_counties(spark):
     found = lidar.decide(asked, registry(spark, 10)).withColumn("part", F.spark_partition_id())
     rows = found.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") == "CANDIDATE").alias("good")).collect()
     assert len(rows) >= 4 and sum(r["n"] for r in rows) == 4000 and sum(r["good"] for r in rows) == 200 * 5
+
+
+def test_selection_makes_no_pairs(spark):
+    asked = spark.range(300).select(F.col("id").alias("request_id"), F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 3 == 1, "C").alias("county"))
+    rows, most = most_rows(measurement.selections(asked, registry(spark, 300)))
+    got = {r["request_id"]: (r["candidates"], r["first_source"], r["code"]) for r in rows}
+    assert got == {k: (150, 0, None) if k % 3 == 0 else (0, None, "NO_LIDAR_COVERAGE") for k in range(300)} and most <= 600
+    twice = asked.where("request_id < 2").union(asked.where("request_id = 0")).union(spark.createDataFrame([(0, "B")], "request_id long, county string"))
+    assert {r["request_id"]: (r["candidates"], r["first_source"]) for r in measurement.selections(twice, registry(spark, 300)).collect()} == {0: (450, 0), 1: (0, None)}
+    assert measurement.selections(asked, registry(spark, 0)).count() == 0
