@@ -33,9 +33,12 @@ def ambiguity(first: Column, second: Column, inside: Column, covered_by_second:
 def prepared(outlines: DataFrame) -> DataFrame:
     """outlines(candidate_id, ring) -> the valid ones, equal ones once (the least id), with their area.
 
-    Validity and equality do not depend on the request, so they are settled here, before outlines meet requests.
+    Validity and equality do not depend on the request, so they are settled here, before outlines meet requests;
+    rings that are drawn alike become one before they are looked at.
     """
-    good = outlines.where(G.simple_ring(F.col("ring"))).withColumn("__same", G.normal_ring(F.col("ring")))
+    drawn = outlines.groupBy("ring").agg(F.min("candidate_id").alias("candidate_id"), F.count(F.lit(1)).alias("__n"))
+    simple = F.when(F.col("__n") > 0, G.simple_ring(F.col("ring")))  # named with the count, else Spark asks it of every row first
+    good = drawn.where(simple).withColumn("__same", G.normal_ring(F.col("ring")))
     return good.groupBy("__same").agg(F.min_by(F.struct("candidate_id", "ring"), "candidate_id").alias("o")).select("o.*").withColumn("area", G.ring_area(F.col("ring")))
 
 

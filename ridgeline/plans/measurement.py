@@ -15,16 +15,23 @@ def outlines(requests: DataFrame, candidates: DataFrame, t: Thresholds = DEFAULT
     return gated(requests, footprints.select_footprint(candidates, t), t)
 
 
-def gated(requests: DataFrame, chosen: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+def gated(requests: DataFrame, chosen: DataFrame, t: Thresholds = DEFAULTS, on: str | list[str] = "request_id") -> DataFrame:
     rows = requests.withColumn("area_code", decision.service_area(F.col("lon"), F.col("lat"), t))
-    joined = rows.join(chosen.withColumnRenamed("code", "footprint_code"), "request_id", "left")
+    joined = rows.join(chosen.withColumnRenamed("code", "footprint_code"), on, "left")
     missing = F.when(F.col("candidate_id").isNull(), F.lit("BUILDING_FOOTPRINT_NOT_FOUND"))
     return joined.withColumn("code", F.coalesce("area_code", "footprint_code", missing))
 
 
 def located(requests: DataFrame, outlines_m: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """requests(request_id, lon, lat, px, py) and all outlines(candidate_id, ring; metres) -> as outlines()."""
-    return gated(requests, footprints.select_prepared(matching.footprint_candidates(requests, outlines_m, t), t), t)
+    """requests(request_id, lon, lat, px, py) and all outlines(candidate_id, ring; metres) -> as outlines().
+
+    The choice depends on the place alone, so each place is searched once, and its requests join the one chosen.
+    """
+    place = F.struct("px", "py")
+    places = requests.where("px IS NOT NULL AND py IS NOT NULL").select("px", "py").distinct().withColumn("request_id", place)
+    chosen = footprints.select_prepared(matching.footprint_candidates(places, outlines_m, t), t)
+    chosen = chosen.select(F.col("request_id.px").alias("px"), F.col("request_id.py").alias("py"), "candidate_id", "ring", "distance", "code")
+    return gated(requests, chosen, t, ["px", "py"])
 
 
 def waves(requests: DataFrame, sources: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:

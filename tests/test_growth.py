@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ridgeline.operators import lidar
-from ridgeline.plans import measurement
+from ridgeline.plans import measurement, roles
 
 
 def most_rows(df):
@@ -51,3 +51,13 @@ def test_selection_makes_no_pairs(spark):
     twice = asked.where("request_id < 2").union(asked.where("request_id = 0")).union(spark.createDataFrame([(0, "B")], "request_id long, county string"))
     assert {r["request_id"]: (r["candidates"], r["first_source"]) for r in measurement.selections(twice, registry(spark, 300)).collect()} == {0: (450, 0), 1: (0, None)}
     assert measurement.selections(asked, registry(spark, 0)).count() == 0
+
+
+def test_copies_of_places_and_outlines_make_no_pairs(spark):
+    k = F.col("id")
+    asked = spark.range(300).select(k.alias("request_id"), F.when(k < 299, 5.0).alias("px"), F.when(k % 2 == 0, 5.0).otherwise(500.0).alias("py"), F.lit(-82.0).alias("lon"), F.lit(26.5).alias("lat"))
+    ring = roles.ring(F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(10.0))
+    bow = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (10.0, 10.0), (10.0, 0.0), (0.0, 9.0))])
+    outlines = spark.range(300).select((k + 5).alias("candidate_id"), F.when(k == 0, bow).when(k % 2 == 0, ring).otherwise(F.reverse(ring)).alias("ring"))
+    rows, most = most_rows(measurement.located(asked, outlines))
+    assert {r["request_id"]: (r["candidate_id"], r["code"]) for r in rows} == {i: (6, None) if i % 2 == 0 else (None, "BUILDING_FOOTPRINT_NOT_FOUND") for i in range(300)} and most <= 600
