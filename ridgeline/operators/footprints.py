@@ -114,3 +114,15 @@ def within_boxes(points: DataFrame, boxes: DataFrame, cell: float, x: str = "x",
     placed = points.withColumns({"__cx": at(F.col(x)), "__cy": at(F.col(y))})
     inside = F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))
     return placed.join(spread, ["__cx", "__cy"]).where(inside).drop("__cx", "__cy")
+
+
+def counts_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+    """points(pid, x, y), boxes(id, x0, y0, x1, y1) -> (id, n, first_pid): how many points each id's boxes hold, and the least.
+
+    Ids without points are left out. Points of one place count as one row with their number, and equal boxes are
+    searched once, so that copies are not expanded into pairs.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    places = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("first_pid"))
+    held = within_boxes(places, boxes.select(*box).distinct(), cell).groupBy(*box).agg(F.sum("n").alias("n"), F.min("first_pid").alias("first_pid"))
+    return boxes.join(held, box).groupBy("id").agg(F.sum("n").alias("n"), F.min("first_pid").alias("first_pid"))

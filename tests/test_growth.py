@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ridgeline.operators import lidar
+from ridgeline.operators import footprints, lidar
 from ridgeline.plans import measurement, roles
 
 
@@ -53,6 +53,14 @@ def test_selection_makes_no_pairs(spark):
     assert measurement.selections(asked, registry(spark, 0)).count() == 0
 
 
+def test_copies_of_boxes_and_points_make_no_pairs(spark):
+    points = spark.range(300).select(F.col("id").alias("pid"), (F.col("id") % 2 * 50.0).alias("x"), F.lit(1.0).alias("y"))
+    boxes = spark.range(300).select((F.col("id") % 299).alias("id"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.when(F.col("id") == 7, 60.0).otherwise(12.0).alias("x1"), F.lit(9.0).alias("y1"))
+    rows, most = most_rows(footprints.counts_in_boxes(points, boxes, 16.0))
+    got = {r["id"]: (r["n"], r["first_pid"]) for r in rows}
+    assert got == {k: (300, 0) if k in (0, 7) else (150, 0) for k in range(299)} and most <= 600
+
+
 def test_copies_of_places_and_outlines_make_no_pairs(spark):
     k = F.col("id")
     asked = spark.range(300).select(k.alias("request_id"), F.when(k < 299, 5.0).alias("px"), F.when(k % 2 == 0, 5.0).otherwise(500.0).alias("py"), F.lit(-82.0).alias("lon"), F.lit(26.5).alias("lat"))
