@@ -1,13 +1,14 @@
 """City-model lines to roof facets, classified edges and totals, one building per row or group.
 
 Row-level measures are column expressions. Only the order-dependent node clustering of a building's few
-hundred vertices runs in a grouped Arrow function; its groups are buildings, never more.
+hundred vertices runs in an Arrow function, over the buildings of a batch at once. ``measure`` moves each
+building twice, before its text is parsed and after its nodes are found, and joins nothing.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,28 +57,36 @@ def vertices(found: Column, transform: Column) -> Column:
 
 def surfaces(buildings: DataFrame) -> DataFrame:
     """(building_id, pos, rings, slope): roof surfaces of level 2.2, in order; rings of vertex structs."""
-    rows = buildings.where("code IS NULL").select("building_id", vertices(F.col("f.vertices"), F.col("transform")).alias("v"), F.posexplode(F.map_values("f.CityObjects")).alias("o", "object"))
-    rows = rows.where(F.col("object.type").isin("Building", "BuildingPart"))
-    rows = rows.select("building_id", "v", "o", F.posexplode("object.geometry").alias("g", "geom")).where("geom.lod = '2.2'")
+    return surfaces_beside(buildings.where("code IS NULL")).where("pos IS NOT NULL")
+
+
+def surfaces_beside(buildings: DataFrame, *kept: str) -> DataFrame:
+    """As surfaces(), with the kept columns; a building without surfaces has rows too, without pos."""
+    parts = F.filter(F.map_values("f.CityObjects"), lambda o: o["type"].isin("Building", "BuildingPart"))
+    rows = buildings.select("building_id", *kept, vertices(F.col("f.vertices"), F.col("transform")).alias("v"), F.posexplode_outer(F.when(F.col("code").isNull(), parts)).alias("o", "object"))
+    rows = rows.select("building_id", *kept, "v", "o", F.posexplode_outer(F.filter("object.geometry", lambda g: g["lod"] == "2.2")).alias("g", "geom"))
     solid = F.col("geom.type") == "Solid"
     flat = F.col("geom.type").isin("MultiSurface", "CompositeSurface")
     faces = F.when(solid, F.flatten(F.from_json("geom.boundaries", SOLID[0]))).when(flat, F.from_json("geom.boundaries", SURFACE[0]))
     labels = F.when(solid, F.flatten(F.from_json("geom.semantics.values", SOLID[1]))).when(flat, F.from_json("geom.semantics.values", SURFACE[1]))
-    rows = rows.select("building_id", "v", "o", "g", "geom.semantics.surfaces", faces.alias("faces"), labels.alias("labels")).where(F.size("faces") == F.size("labels"))
-    rows = rows.select("building_id", "v", "o", "g", "surfaces", F.posexplode(F.arrays_zip("faces", "labels")).alias("k", "face"))
+    rows = rows.select("building_id", *kept, "v", "o", "g", F.col("geom.semantics.surfaces").alias("surfaces"), faces.alias("faces"), labels.alias("labels"))
+    both = F.when(F.size("faces") == F.size("labels"), F.arrays_zip("faces", "labels"))
+    rows = rows.select("building_id", *kept, "v", "o", "g", "surfaces", F.posexplode_outer(both).alias("k", "face"))
     label = F.get("surfaces", F.col("face.labels"))
-    rows = rows.where(label["type"] == "RoofSurface")
+    roof = F.coalesce(label["type"] == "RoofSurface", F.lit(False))
     rings = F.transform("face.faces", lambda ring: F.transform(ring, lambda i: F.get("v", i)))
-    order = Window.partitionBy("building_id").orderBy("o", "g", "k")
-    return rows.select("building_id", F.row_number().over(order).alias("pos"), rings.alias("rings"), label["rf_slope"].alias("slope"))
+    rows = rows.withColumns({"roof": roof, "slope": label["rf_slope"]})
+    pos = F.count_if("roof").over(Window.partitionBy("building_id").orderBy("o", "g", "k").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    rows = rows.select("building_id", *kept, F.when(F.col("roof"), pos).alias("pos"), F.when(F.col("roof"), rings).alias("rings"), "slope")
+    return rows
 
 
-def facets(found: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Roof surfaces -> measures of each facet (metres, degrees) and the first rule it breaks, or null."""
+def facets(found: DataFrame, t: Thresholds = DEFAULTS, *kept: str) -> DataFrame:
+    """Roof surfaces -> measures of each facet (metres, degrees) and the first rule it breaks, or null; with the kept columns."""
     shell = F.col("rings")[0]
     holes = F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(0)))
     rows = found.select(
-        "building_id", "pos", F.concat(F.lit("F"), "pos").alias("facet_id"), shell.alias("ring"), "slope",
+        "building_id", *kept, "pos", F.concat(F.lit("F"), "pos").alias("facet_id"), shell.alias("ring"), "slope",
         F.exists("rings", lambda r: (F.size(r) < 3) | F.exists(r, lambda p: p.isNull())).alias("broken"),
         G.newell(shell).alias("vector"),
         F.exists(holes, lambda h: G.norm(G.newell(h)) <= 0.02).alias("pinhole"),
@@ -102,12 +111,13 @@ def facets(found: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     return rows.withColumns({"code": code, "classification": kind, "rise": G.rise_per_12(F.col("pitch"))}).drop("broken", "pinhole", "vector")
 
 
-def quality(buildings: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """(building_id, code, confidence) from the reconstruction's own quality attributes."""
+def quality(buildings: DataFrame, t: Thresholds = DEFAULTS, *kept: str) -> DataFrame:
+    """(building_id, code, confidence) from the reconstruction's own quality attributes; with the kept columns."""
     owner = F.filter(F.map_values("f.CityObjects"), lambda o: o["type"] == "Building")
     a = F.aggregate(owner, F.create_map().cast("map<string,string>"), lambda m, o: F.when(o["attributes"].isNull(), m).otherwise(F.map_concat(F.map_filter(m, lambda k, _: ~F.array_contains(F.map_keys(o["attributes"]), k)), o["attributes"])))
-    rows = buildings.select("building_id", a.alias("a")).select(
+    rows = buildings.select("building_id", *kept, a.alias("a")).select(
         "building_id",
+        *kept,
         quality_number(F.col("a.rf_pt_density")).alias("density"),
         quality_number(F.col("a.rf_nodata_frac"), 1.0).alias("nodata"),
         quality_number(F.col("a.rf_rmse_lod22")).alias("rmse"),
@@ -123,65 +133,132 @@ def quality(buildings: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
         (nodata > t.max_nodata_fraction, "LIDAR_COVERAGE_INCOMPLETE"),
         (rmse > t.max_rmse_m, "ROOFER_RMSE_TOO_HIGH"),
     )
-    return rows.select("building_id", code.alias("code"), F.when(code.isNull(), quality_confidence(density, nodata, rmse, t)).alias("confidence"))
+    return rows.select("building_id", *kept, code.alias("code"), F.when(code.isNull(), quality_confidence(density, nodata, rmse, t)).alias("confidence"))
 
 
-USES = "building_id string, seq int, lo int, hi int, pos int, a struct<x:double,y:double,z:double>, b struct<x:double,y:double,z:double>"
+XYZ = pa.struct([(c, pa.float64()) for c in "xyz"])
+USE = pa.struct([*((c, pa.int32()) for c in ("seq", "lo", "hi", "pos")), ("a", XYZ), ("b", XYZ)])
+USES = "array<struct<seq:int,lo:int,hi:int,pos:int,a:struct<x:double,y:double,z:double>,b:struct<x:double,y:double,z:double>>>"
+#: Pairs of points, or of sides and points, that are tested at once.
+PAIRS = 250_000
 
 
-def node_edges(facets: list[tuple[int, np.ndarray]], tolerance: float) -> list[tuple]:
-    """Edge uses (seq, lo, hi, pos, start, end) of one building: sides of its facets, cut at nodes on them.
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of sum(counts) items: which count it belongs to, and its number there."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _blocks(counts: np.ndarray) -> list[np.ndarray]:
+    """Item numbers in blocks of about PAIRS by count; an item is never cut."""
+    if not len(counts):
+        return []
+    return np.split(np.arange(len(counts)), np.flatnonzero(np.diff((np.cumsum(counts) - counts) // PAIRS)) + 1)
 
-    facets holds (pos, ring of xyz rows) in order. Vertices in that order join the first node within
-    tolerance, else found a new one. seq is the order in which uses are met; a facet uses a pair of nodes once.
+
+def node_buildings(building: np.ndarray, pos: np.ndarray, size: np.ndarray, xyz: np.ndarray, tolerance: float) -> tuple:
+    """Edge uses (building, seq, lo, hi, pos, start, end; arrays) of buildings: sides of facets, cut at nodes on them.
+
+    A facet has a building (numbers that do not fall), a pos and a size, and its vertices follow in xyz. Of a
+    building, vertices in that order join the first node within tolerance, else found a new one. seq is the
+    order in which uses are met; a facet uses a pair of nodes once.
     """
-    points = np.array(list(dict.fromkeys(tuple(p) for _, ring in facets for p in ring.tolist())))
-    nodes: list[np.ndarray] = []
-    keys = np.empty(len(points), dtype=int)
-    for i, p in enumerate(points):
-        near = np.flatnonzero(np.linalg.norm(np.array(nodes) - p, axis=1) <= tolerance) if nodes else []
-        keys[i] = near[0] if len(near) else len(nodes)
-        if not len(near):
-            nodes.append(p)
-    out, met = [], set()
-    for pos, ring in facets:
-        for start, end in zip(ring, np.roll(ring, -1, axis=0)):
-            side = end - start
-            length = np.linalg.norm(side)
-            if length <= MIN_EDGE:
-                continue
-            at = (points - start) @ side / length**2
-            off = np.linalg.norm(points - start - at[:, None] * side, axis=1)
-            on = np.flatnonzero((np.abs(at - 0.5) <= 0.5 + tolerance / length) & (off <= tolerance))
-            at = np.clip(at, 0, 1)
-            order = on[np.argsort(at[on], kind="stable")]
-            if not len(order):
-                continue
-            order = order[np.concatenate(([True], keys[order][1:] != keys[order][:-1]))]
-            for i, j in zip(order, order[1:]):
-                a, b = start + at[i] * side, start + at[j] * side
-                lo, hi = sorted((int(keys[i]), int(keys[j])))
-                if np.linalg.norm(b - a) > MIN_EDGE and (lo, hi, pos) not in met:
-                    met.add((lo, hi, pos))
-                    out.append((len(out), lo, hi, pos, a, b))
-    return out
+    facet, corner = _spread(size)
+    owner = building[facet]
+    order = np.lexsort((*xyz.T, owner))
+    same = np.concatenate(([True], (owner[order][1:] != owner[order][:-1]) | (xyz[order][1:] != xyz[order][:-1]).any(axis=1)))[: len(order)]
+    first = np.sort(order[same])
+    points, at_home = xyz[first], owner[first]
+    n_buildings = int(building[-1]) + 1 if len(building) else 0
+    held = np.bincount(at_home, minlength=n_buildings)
+    begin = np.cumsum(held) - held
+
+    founder = np.arange(len(points))
+    for block in _blocks(held[at_home]):
+        left, k = _spread(held[at_home[block]])
+        left = block[left]
+        right = begin[at_home[left]] + k
+        near = (right < left) & (np.linalg.norm(points[right] - points[left], axis=1) <= tolerance)
+        for i, j in zip(left[near].tolist(), right[near].tolist()):  # by i, then j
+            if founder[i] == i and founder[j] == j:
+                founder[i] = j
+    rank = np.cumsum(founder == np.arange(len(points)))
+    keys = (rank - 1)[founder] - (rank - (founder == np.arange(len(points))))[begin[at_home]]
+
+    start = xyz
+    side = xyz[np.arange(len(xyz)) + np.where(corner + 1 == size[facet], 1 - size[facet], 1)] - start
+    length = np.linalg.norm(side, axis=1)
+    sides = np.flatnonzero(~(length <= MIN_EDGE))
+    found = [(sides[:0], sides[:0], length[:0])]
+    for block in _blocks(held[owner[sides]]):
+        s, k = _spread(held[owner[sides[block]]])
+        s = sides[block][s]
+        p = begin[owner[s]] + k
+        with np.errstate(invalid="ignore"):
+            gap = points[p] - start[s]
+            at = (gap * side[s]).sum(axis=1) / length[s] ** 2
+            off = np.linalg.norm(gap - at[:, None] * side[s], axis=1)
+            on = (np.abs(at - 0.5) <= 0.5 + tolerance / length[s]) & (off <= tolerance)
+        found.append((s[on], p[on], np.clip(at[on], 0, 1)))
+    s, p, at = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((at, s))
+    s, p, at = s[order], p[order], at[order]
+    new = np.concatenate(([True], (s[1:] != s[:-1]) | (keys[p[1:]] != keys[p[:-1]])))[: len(s)]
+    s, p, at = s[new], p[new], at[new]
+    i = np.flatnonzero(s[1:] == s[:-1])
+    a, b = (start[s[x]] + at[x][:, None] * side[s[x]] for x in (i, i + 1))
+    lo, hi = np.minimum(keys[p[i]], keys[p[i + 1]]), np.maximum(keys[p[i]], keys[p[i + 1]])
+    long = np.linalg.norm(b - a, axis=1) > MIN_EDGE
+    a, b, lo, hi, of = a[long], b[long], lo[long], hi[long], facet[s[i[long]]]
+    order = np.lexsort((hi, lo, of))
+    met = np.concatenate(([True], (of[order][1:] != of[order][:-1]) | (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])))[: len(order)]
+    good = np.sort(order[met])
+    _, seq = _spread(np.bincount(building[of[good]], minlength=n_buildings))
+    return building[of[good]], seq, lo[good], hi[good], pos[of[good]], a[good], b[good]
 
 
-def edge_uses(found: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Rows of USES. A building's facets come as one row, so an Arrow batch holds many buildings."""
-    flat = F.transform("ring", lambda p: F.array(p["x"], p["y"], p["z"]))
-    rows = found.select(F.col("building_id").cast("string").alias("building_id"), F.struct("pos", flat.alias("ring")).alias("f"))
-    rows = rows.groupBy("building_id").agg(F.array_sort(F.collect_list("f")).alias("facets"))
+def node_edges(facets: list[tuple[int, np.ndarray]], tolerance: float) -> list[tuple]:
+    """node_buildings() of one building: uses (seq, lo, hi, pos, start, end) of its facets (pos, ring of xyz rows)."""
+    pos, rings = [f[0] for f in facets], [f[1] for f in facets]
+    found = node_buildings(np.zeros(len(pos), dtype=int), np.array(pos), np.array([len(r) for r in rings]), np.concatenate(rings), tolerance)
+    return [(int(seq), int(lo), int(hi), int(at), a, b) for _, seq, lo, hi, at, a, b in zip(*found)]
+
+
+def noded(batch: pa.Array, tolerance: float) -> pa.Array:
+    """Arrays of facets struct(pos, xyz: all coordinates of the ring, vertex by vertex) -> arrays of uses."""
+    facets_of = np.asarray(batch.value_lengths().fill_null(0))
+    f = batch.flatten()
+    pos = np.asarray(f.field("pos"), dtype=np.int64)
+    rings = f.field("xyz")
+    size = np.asarray(rings.value_lengths(), dtype=np.int64) // 3
+    xyz = np.asarray(rings.flatten().cast(pa.float64()).fill_null(float("nan")) if len(rings) else [], dtype=float).reshape(-1, 3)
+    row, _ = _spread(facets_of)
+    of, seq, lo, hi, at, a, b = node_buildings(row, pos, size, xyz, tolerance)
+    ends = lambda v: pa.StructArray.from_arrays([pa.array(v[:, i]) for i in range(3)], fields=list(XYZ))
+    uses = pa.StructArray.from_arrays([*(pa.array(x, pa.int32()) for x in (seq, lo, hi, at)), ends(a), ends(b)], fields=list(USE))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(facets_of))))), pa.int32()), uses)
+
+
+def uses_of(sides: Column, t: Thresholds = DEFAULTS) -> Column:
+    """Uses of a building's facets: an array of struct(pos, xyz), in order -> an array of uses."""
+    tolerance = t.edge_node_m
+
+    def run(batch: pa.Array) -> pa.Array:
+        return noded(batch, tolerance)
+
+    run.__annotations__ = {"batch": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, USES)(sides)
+
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for building, facets in zip(batch["building_id"], batch["facets"]):
-                rings = [(f["pos"], np.array([list(p) for p in f["ring"]], dtype=float)) for f in facets]
-                out += [(building, *use[:4], *({"x": v[0], "y": v[1], "z": v[2]} for v in use[4:])) for use in node_edges(rings, t.edge_node_m)]
-            yield pd.DataFrame(out, columns=["building_id", "seq", "lo", "hi", "pos", "a", "b"])
+def _xyz(ring: Column) -> Column:
+    return F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"], p["z"])))
 
-    return rows.mapInPandas(run, USES)
+
+def edge_uses(found: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """(building_id, seq, lo, hi, pos, a, b). A building's facets come as one row, so an Arrow batch holds many buildings."""
+    rows = found.select(F.col("building_id").cast("string").alias("building_id"), F.struct("pos", _xyz(F.col("ring")).alias("xyz")).alias("f"))
+    rows = rows.groupBy("building_id").agg(F.array_sort(F.collect_list("f")).alias("facets"))
+    return rows.select("building_id", F.inline(uses_of(F.col("facets"), t)))
 
 
 def classify_pair(angle: Column, first: Column, second: Column, drop: Column, level: float = 0.15, decisive: float = 0.08, coplanar: float = 2.0) -> Column:
@@ -202,21 +279,28 @@ def classify_single(drop: Column, middle: Column, centre: Column, level: float =
 
 def edges(uses: DataFrame, found: DataFrame) -> DataFrame:
     """(building_id, seq, kind, length_feet, plan_feet, facets): each noded edge once; lengths of its first use."""
-    side = found.select(F.col("building_id").cast("string").alias("building_id"), "pos", "facet_id", "ring", "normal", "centroid")
-    rows = uses.join(side, ["building_id", "pos"])
+    side = found.select(F.col("building_id").cast("string").alias("building_id"), "pos", "facet_id", "ring", "normal", F.col("centroid.z").alias("centre"))
+    return classified(uses.join(side, ["building_id", "pos"]))
+
+
+def classified(rows: DataFrame, *kept: str) -> DataFrame:
+    """Uses with their facet's facet_id, ring, normal and centre -> as edges(), with columns that a building keeps.
+
+    A row without seq stands for a building without edges and comes out with n_uses 0 and no kind.
+    """
     rows = rows.withColumn("delta", G.side_height(F.col("ring"), F.col("normal"), F.col("a"), F.col("b")))
-    item = F.struct("seq", "facet_id", "normal", "delta", "a", "b", F.col("centroid.z").alias("centre"))
-    pairs = rows.groupBy("building_id", "lo", "hi").agg(F.array_sort(F.collect_list(item)).alias("u"))  # two uses, or broken
-    first, second = F.col("u")[0], F.get("u", F.lit(1))
+    item = F.when(F.col("seq").isNotNull(), F.struct("seq", "facet_id", "normal", "delta", "a", "b", "centre"))
+    pairs = rows.groupBy("building_id", "lo", "hi").agg(F.array_sort(F.collect_list(item)).alias("u"), *[F.first(c).alias(c) for c in kept])  # two uses, or broken
+    first, second = F.get("u", F.lit(0)), F.get("u", F.lit(1))
     drop = F.abs(first["a"]["z"] - first["b"]["z"])
     kind = (
         F.when(F.size("u") > 2, F.lit("nonManifold"))
         .when(F.size("u") == 2, classify_pair(G.angle_degrees(first["normal"], second["normal"]), first["delta"], second["delta"], drop))
-        .otherwise(classify_single(drop, (first["a"]["z"] + first["b"]["z"]) / 2, first["centre"]))
+        .when(F.size("u") == 1, classify_single(drop, (first["a"]["z"] + first["b"]["z"]) / 2, first["centre"]))
     )
     feet = lambda x: F.round(x * METRES_TO_FEET, 2)
     return pairs.select(
-        "building_id", first["seq"].alias("seq"), kind.alias("kind"), F.size("u").alias("n_uses"),
+        "building_id", *kept, first["seq"].alias("seq"), kind.alias("kind"), F.size("u").alias("n_uses"),
         feet(G.length_3d(first["a"], first["b"])).alias("length_feet"), feet(G.length_plan(first["a"], first["b"])).alias("plan_feet"),
         F.transform("u", lambda x: x["facet_id"]).alias("facets"),
     )
@@ -232,12 +316,12 @@ def numbered(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind").isin(*KINDS)).withColumn("edge_id", F.concat(prefix[F.col("kind")], n))
 
 
-def facet_totals(found: DataFrame, t: Thresholds = DEFAULTS, digits: int = 2) -> DataFrame:
-    """Facets (as of facets()) -> one row per building: count, areas in square feet, pitches, openings, first facet code."""
+def facet_sums(t: Thresholds = DEFAULTS, digits: int = 2) -> list[Column]:
+    """Aggregates of a building's facets (as of facets()): count, areas in square feet, pitches, openings, first facet code."""
     ft2 = SQUARE_METRES_TO_SQUARE_FEET
-    return found.groupBy(F.col("building_id").cast("string").alias("building_id")).agg(
+    return [
         F.min_by("code", F.when(F.col("code").isNotNull(), F.col("pos"))).alias("facet_code"),
-        F.count(F.lit(1)).alias("facets"),
+        F.count("pos").alias("facets"),
         F.round(F.sum("area") * ft2, 2).alias("roof_area_sqft"),
         F.round(F.sum("plan_area") * ft2, 2).alias("plan_area_sqft"),
         F.round(F.sum(F.col("pitch") * F.col("area")) / F.sum("area"), digits).alias("average_pitch"),
@@ -245,16 +329,22 @@ def facet_totals(found: DataFrame, t: Thresholds = DEFAULTS, digits: int = 2) ->
         F.round(F.coalesce(F.sum(F.when(F.col("pitch") <= t.flat_pitch_degrees, F.col("area"))), F.lit(0.0)) * ft2, 2).alias("flat_area_sqft"),
         F.sum("openings").alias("openings"),
         F.round(F.sum("opening_perimeter") * METRES_TO_FEET, 2).alias("opening_perimeter_feet"),
-    )
+    ]
 
 
-def edge_totals(classified: DataFrame) -> DataFrame:
+def facet_totals(found: DataFrame, t: Thresholds = DEFAULTS, digits: int = 2) -> DataFrame:
+    """Facets (as of facets()) -> one row per building with facet_sums()."""
+    return found.groupBy(F.col("building_id").cast("string").alias("building_id")).agg(*facet_sums(t, digits))
+
+
+def edge_totals(classified: DataFrame, *kept: str) -> DataFrame:
     """Edges (as of edges()) -> one row per building: feet by kind, in space and in plan, derived totals, counts."""
     of = lambda column, kind: F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(column))), F.lit(0.0)), 2)
     lines = classified.groupBy("building_id").agg(
+        *[F.first(c).alias(c) for c in kept],
         *[of("length_feet", k).alias(k) for k in KINDS],
         *[of("plan_feet", k).alias("plan_" + k) for k in KINDS],
-        F.count(F.lit(1)).alias("noded_edges"),
+        F.count_if(F.col("n_uses") > 0).alias("noded_edges"),
         F.count_if(F.col("n_uses") == 2).alias("shared_edges"),
         F.count_if(F.col("n_uses") == 1).alias("exterior_edges"),
         F.bool_or(F.col("kind") == "nonManifold").alias("non_manifold"),
@@ -267,34 +357,44 @@ def edge_totals(classified: DataFrame) -> DataFrame:
     })
 
 
-def totals(buildings: DataFrame, found: DataFrame, classified: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """One row per building: areas, pitches, lengths by kind (sums of rounded lengths), and the first code.
+def measure(lines: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """lines(building_id, value) of city-model text -> one row per building: areas, pitches, lengths by kind (sums of
+    rounded lengths), and the first code; facet codes come before quality codes, these before edge codes.
 
-    Facet codes come before quality codes, these before edge codes.
+    The text is shuffled and parsed once; a building's codes, facets and edges then follow, each in the row or group
+    of the one before. So no table of buildings is joined, or broadcast.
     """
-    roof, lines = facet_totals(found, t), edge_totals(classified)
-    graded = quality(buildings, t).select(F.col("building_id").cast("string").alias("building_id"), F.col("code").alias("quality_code"), "confidence")
-    named = buildings.select(F.col("building_id").cast("string").alias("building_id"), F.col("code").alias("feature_code"))
-    out = named.join(roof, "building_id", "left").join(lines, "building_id", "left").join(graded, "building_id", "left")
+    texts = lines.select(F.col("building_id").cast("string").alias("building_id"), "value").repartition("building_id")
+    buildings = features(texts).withColumnRenamed("code", "feature_code")
+    graded = quality(buildings, t, "f", "transform", "feature_code")
+    head = F.struct("feature_code", F.col("code").alias("quality_code"), "confidence")
+    graded = graded.select("building_id", "f", "transform", F.col("feature_code").alias("code"), head.alias("head"))
+    found = facets(surfaces_beside(graded, "head"), t, "head")
+    there = F.col("pos").isNotNull()
+    found = found.withColumns({c: F.when(there, F.col(c)) for c in ("code", "area", "plan_area", "pitch", "openings", "opening_perimeter")})
+    sums = facet_sums(t)
+    names = ("facet_code", "facets", "roof_area_sqft", "plan_area_sqft", "average_pitch", "maximum_pitch", "flat_area_sqft", "openings", "opening_perimeter_feet")
+    facet = F.struct("pos", "code", "facet_id", "ring", "normal", F.col("centroid.z").alias("centre"))
+    rows = found.groupBy("building_id").agg(F.first("head").alias("head"), *sums, F.array_sort(F.collect_list(F.when(there, facet))).alias("all"))
+    rows = rows.select("building_id", F.struct("head.*", *names).alias("roof"), "all")
+    good = F.transform(F.filter("all", lambda f: f["code"].isNull()), lambda f: F.struct(f["pos"].alias("pos"), _xyz(f["ring"]).alias("xyz")))
+    rows = rows.withColumn("uses", uses_of(good, t)).repartition("building_id")  # Arrow functions lose the partitioning
+    rows = rows.select("building_id", "roof", "all", F.explode_outer("uses").alias("use"))
+    rows = rows.select("building_id", "roof", "use.*", F.get("all", F.col("use.pos") - 1).alias("side"))
+    rows = rows.select("building_id", "roof", "seq", "lo", "hi", "a", "b", "side.facet_id", "side.ring", "side.normal", "side.centre")
+    out = edge_totals(classified(rows, "roof"), "roof").select("*", "roof.*")
+    some, lined = F.col("facets") > 0, F.col("noded_edges") > 0
     code = F.coalesce(
         "feature_code",
-        F.when(F.col("facets").isNull(), F.lit("ROOF_FACETS_MISSING")),
+        F.when(~some, F.lit("ROOF_FACETS_MISSING")),
         "facet_code",
         "quality_code",
         F.when(F.col("non_manifold"), F.lit("NON_MANIFOLD_ROOF_EDGE")),
         F.when(F.col("ambiguous"), F.lit("ROOF_EDGE_CLASSIFICATION_INCOMPLETE")),
     )
-    return out.select(
-        "building_id", code.alias("code"), F.round("confidence", 3).alias("confidence"), "facets", "roof_area_sqft", "plan_area_sqft", "average_pitch", "maximum_pitch", "flat_area_sqft", "openings", "opening_perimeter_feet", *KINDS,
-        "external_perimeter_feet", "external_plan_perimeter_feet", "internal_edge_feet", "noded_edges", "shared_edges", "exterior_edges",
-    )
-
-
-def measure(lines: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """lines(building_id, value) of city-model text -> totals()."""
-    buildings = features(lines)
-    found = facets(surfaces(buildings), t)
-    return totals(buildings, found, edges(edge_uses(found.where("code IS NULL"), t), found), t)
+    of_facets = [F.when(some, F.col(c)).alias(c) for c in names[1:]]
+    of_edges = [F.when(lined, F.col(c)).alias(c) for c in (*KINDS, "external_perimeter_feet", "external_plan_perimeter_feet", "internal_edge_feet", "noded_edges", "shared_edges", "exterior_edges")]
+    return out.select("building_id", code.alias("code"), F.round("confidence", 3).alias("confidence"), *of_facets, *of_edges)
 
 
 def perimeter_gate(measured: DataFrame, outline_feet: str, t: Thresholds = DEFAULTS) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from datetime import date
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import footprints, lidar
+from ridgeline.operators import footprints, lidar, roof
 from ridgeline.plans import measurement, roles
+from ridgeline.plans.catalogue import saltbox
 
 
 def most_rows(df):
@@ -69,3 +72,54 @@ def test_copies_of_places_and_outlines_make_no_pairs(spark):
     outlines = spark.range(300).select((k + 5).alias("candidate_id"), F.when(k == 0, bow).when(k % 2 == 0, ring).otherwise(F.reverse(ring)).alias("ring"))
     rows, most = most_rows(measurement.located(asked, outlines))
     assert {r["request_id"]: (r["candidate_id"], r["code"]) for r in rows} == {i: (6, None) if i % 2 == 0 else (None, "BUILDING_FOOTPRINT_NOT_FOUND") for i in range(300)} and most <= 600
+
+
+def plain_uses(facets, tolerance, least=0.10):
+    """Uses of one building's facets, side by side and point by point."""
+    points, nodes, keys, out, met = list(dict.fromkeys(tuple(p) for _, ring in facets for p in ring.tolist())), [], [], [], set()
+    for p in points:
+        near = [i for i, q in enumerate(nodes) if np.linalg.norm(np.subtract(q, p)) <= tolerance]
+        keys.append(near[0] if near else len(nodes))
+        if not near:
+            nodes.append(p)
+    for pos, ring in facets:
+        for start, end in zip(ring, np.roll(ring, -1, axis=0)):
+            side, length, on = end - start, np.linalg.norm(end - start), []
+            if length <= least:
+                continue
+            for p, key in zip(points, keys):
+                at = (p - start) @ side / length**2
+                if abs(at - 0.5) <= 0.5 + tolerance / length and np.linalg.norm(p - start - at * side) <= tolerance:
+                    on.append((min(1, max(0, at)), key))
+            on.sort(key=lambda x: x[0])
+            on = [x for i, x in enumerate(on) if not i or x[1] != on[i - 1][1]]
+            for (at, i), (to, j) in zip(on, on[1:]):
+                use = (min(i, j), max(i, j), pos)
+                if (to - at) * length > least and use not in met:
+                    met.add(use)
+                    out.append((len(out), *use, start + at * side, start + to * side))
+    return out
+
+
+@pytest.mark.parametrize("pairs", [1, 250_000])
+def test_buildings_of_a_batch_are_noded_as_one_by_one(monkeypatch, pairs):
+    monkeypatch.setattr(roof, "PAIRS", pairs)
+    random, buildings = np.random.default_rng(5), []
+    for _ in range(40):
+        grid = random.integers(0, 5, (random.integers(3, 9), 3)) + random.choice([0, 0, 0.03, 0.07], (1, 3))
+        buildings.append([(k + 1, grid[random.choice(len(grid), random.integers(3, 6))] + random.choice([0, 0, 0.04], (1, 3))) for k in range(random.integers(1, 4))])
+    flat = [(n, pos, ring) for n, b in enumerate(buildings) for pos, ring in b]
+    found = roof.node_buildings(np.array([f[0] for f in flat]), np.array([f[1] for f in flat]), np.array([len(f[2]) for f in flat]), np.concatenate([f[2] for f in flat]), 0.10)
+    uses = list(zip(*found))
+    for n, facets in enumerate(buildings):
+        mine, plain = [u[1:] for u in uses if u[0] == n], plain_uses(facets, 0.10)
+        assert [tuple(map(int, u[:4])) for u in mine] == [u[:4] for u in plain]
+        assert all(np.allclose(u[4:], v[4:]) for u, v in zip(mine, plain))
+
+
+def test_buildings_are_measured_without_joins(spark):
+    lines = spark.range(500).select(F.col("id").cast("string").alias("building_id"), F.when(F.col("id") == 3, "{}").otherwise(saltbox(4.0)).alias("value"))
+    df = roof.measure(lines.union(lines.where("building_id = '7'")))
+    got = {r["building_id"]: (r["code"], r["facets"], r["noded_edges"]) for r in df.collect()}
+    assert got == {str(k): ("CITYJSON_FEATURE_COUNT_INVALID", None, None) if k in (3, 7) else (None, 2, 7) for k in range(500)}
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
