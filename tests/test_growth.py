@@ -46,6 +46,28 @@ def test_audit_is_spread_whatever_the_counties(spark):
     assert len(rows) >= 4 and sum(r["n"] for r in rows) == 4000 and sum(r["good"] for r in rows) == 200 * 5
 
 
+def test_audit_is_written_small(spark, tmp_path):
+    asked = spark.range(500).select(F.col("id").alias("request_id"), F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 3 == 1, "B").alias("county"))
+    lidar.decide(asked, registry(spark, 5999)).select("request_id", "source_id", "decision").write.option("compression", "snappy").parquet(str(tmp_path / "audit"))
+    rows = spark.read.parquet(str(tmp_path / "audit"))
+    assert rows.count() == rows.distinct().count() == 500 * 5999 and rows.where("decision = 'CANDIDATE'").count() == 167 * 5999
+    assert sum(f.stat().st_size for f in (tmp_path / "audit").glob("*.parquet")) < 0.4 * 500 * 5999
+
+
+@pytest.mark.parametrize("n", [0, 1, 256, 257, 770])
+def test_audit_has_every_pair_once_for_each_copy(spark, n):
+    k = F.col("id")
+    asked = spark.range(30).select(F.when(k < 25, k % 7).alias("request_id"), F.when(k % 3 == 0, "A").when(k % 3 == 1, "C").alias("county"), k.alias("row"))
+    side = registry(spark, n).withColumn("source_id", F.when(F.col("source_id") % 5 > 0, F.col("source_id") % 50)).withColumn("priority", F.col("source_id"))
+    side = side.withColumn("county", F.when(F.col("source_id") % 4 > 0, F.col("county"))).withColumn("coverage", F.when(F.col("source_id") % 3 == 0, 0.5).when(F.col("source_id") % 3 == 1, 1.0))
+    judged = lambda a, b: "SKIPPED_DISABLED_OR_COUNTY" if a["county"] is None or a["county"] != b["county"] else "SOURCE_UNAVAILABLE" if b["coverage"] is None else "NO_COMPLETE_BUFFERED_COVERAGE" if b["coverage"] < 0.98 else "CANDIDATE"
+    expected = sorted(str((a["row"], a["request_id"], b["source_id"], judged(a, b))) for a in asked.collect() for b in side.collect())
+    for most in (100_000, 0):
+        found = lidar.decide(asked, side, broadcast_rows=most)
+        assert found.columns == ["request_id", "county", "row", "source_id", "source_county", *side.columns[2:], "decision"]
+        assert sorted(str((r["row"], r["request_id"], r["source_id"], r["decision"])) for r in found.collect()) == expected
+
+
 def test_selection_makes_no_pairs(spark):
     asked = spark.range(300).select(F.col("id").alias("request_id"), F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 3 == 1, "C").alias("county"))
     rows, most = most_rows(measurement.selections(asked, registry(spark, 300)))
